@@ -1,0 +1,99 @@
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quarry.llm import packing, tokens
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+ODD = ["", " ", "\n\n", "<|endoftext|> x <|ENDOFTEXT|>", "it's THE end,, of. don't", "a b　c\td", "ΣΑΣ ΟΔΟΣ", "é é", "x" * 5000, "1234 5,6.7", " ́a", "ß ẞ İ", "☃ 🎉🎉 中文字"]
+
+
+@pytest.fixture(scope="module")
+def plain():
+    t = Tokenizer.from_file(PATH)
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def check(plain, texts):
+    enc = tokens.encoder(PATH, 2)
+    assert enc.by_word and enc.by_model
+    ids, lens = enc.encode(pa.array(texts, pa.string()))
+    want = [plain(t) for t in texts]
+    assert lens.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_ids_equal_whole_text_encoding(plain, spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    check(plain, [*texts, *ODD, None])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aeß.,' \n\t ́Σ<|>"), st.characters(codec="utf-8")), max_size=40), min_size=1, max_size=5))
+def test_ids_of_any_text(plain, texts):
+    check(plain, texts)
+
+
+def test_long_text_is_encoded_in_parts(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "LONG_BYTES", 100)
+    check(plain, ["word, andere " * 200])
+    check(plain, ["x" * 500 + " y"])
+
+
+@pytest.mark.parametrize("limit", [1, 10, 10**6])
+def test_slices_cover_rows_once(limit):
+    arr = pa.array(["abc", None, "", "x" * 50, "yy"])
+    assert [i for a, b in tokens.slices(arr, limit) for i in range(a, b)] == list(range(5))
+    assert list(tokens.slices(pa.array([], pa.string()))) == []
+
+
+def test_cut_lengths():
+    lengths, doc = packing.cut_lengths(np.array([1, 13, 9000]), 4096)
+    assert lengths.tolist() == [1, 8, 4, 1, 4096, 4096, 512, 256, 32, 8]
+    assert doc.tolist() == [0, 1, 1, 1, 2, 2, 2, 2, 2, 2]
+
+
+def test_pieces_restore_documents(plain, docs):
+    rows = [(1, "the end. " * 3000), (2, None), (3, ""), (None, "no id"), (5, "copy"), (5, "copy"), (6, "")] + [(10 + i, t) for i, t in enumerate(ODD)]
+    df = docs(rows).withColumn("length", F.lit("clash")).withColumn("START", F.lit(1)).repartition(3)
+    out = packing.pack(df, PATH).collect()
+    assert len({r.sequence_id for r in out}) == len(out)
+    assert all(r.length & (r.length - 1) == 0 and r.length <= 4096 and r.offset == 0 for r in out)
+    assert all(r.sequence_id >> 57 == r.length.bit_length() - 1 for r in out)
+    got = defaultdict(list)
+    for r in sorted(out, key=lambda r: r.start):
+        assert len(r.ids) == 4 * r.length
+        got[r.doc_id].append((r.start, np.frombuffer(r.ids, "<u4").tolist(), r.doc_tokens))
+    for doc_id, text in rows:
+        want = plain(text)
+        if doc_id == 5:
+            assert [p[1] for p in got[5]] == [want[:1], want[:1], want[1:], want[1:]] or sum(len(p[1]) for p in got[5]) == 2 * len(want)
+            continue
+        assert [i for _, ids, _ in got[doc_id] for i in ids] == want
+        assert all(n == len(want) for _, _, n in got[doc_id])
+
+
+def test_empty_table_and_buckets(docs, tmp_path):
+    assert packing.pack(docs([]), PATH).collect() == []
+    pieces = packing.pack(docs([(1, "one two three four five")]), PATH)
+    packing.write_buckets(pieces, str(tmp_path / "b"))
+    assert {p.name for p in (tmp_path / "b").iterdir() if p.is_dir()} == {f"length={r.length}" for r in pieces.collect()}
+    with pytest.raises(ValueError):
+        packing.pack(docs([]), PATH, max_len=100)
+
+
+def test_query_matches_whole_encoding(plain, spark, sf_dir):
+    from quarry.llm.queries import op10_packing
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in op10_packing(spark, sf_dir).collect():
+        ids = plain(texts[r.doc_id])[r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
