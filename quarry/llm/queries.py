@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import mixing, naming, packing, records, sharding
 
 END_ID = 2
 
@@ -23,6 +23,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = {"text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)}
+    return naming.groups(_table(spark, sf_dir, "documents"), keep=keep).drop("rid")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = sharding.assign(sized, ["source", "lang", "size"], "doc_id", 16, keep=["size", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(_table(spark, sf_dir, "documents"), vocabulary(), end_id=END_ID)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), vocabulary(), end_id=END_ID)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -30,9 +52,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_exact_dedup": op5_exact_dedup,
+        "op7_mixing": op7_mixing,
+        "op8_hilbert_shards": op8_hilbert_shards,
+        "op9_token_records": op9_token_records,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_exact_dedup": """
+            SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+                   doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+            FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+        """,
+    }
