@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, naming, packing, records, sharding
+from . import mixing, naming, packing, records, sharding, simhash
 
 END_ID = 2
 
@@ -23,6 +23,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = {"text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)}
     return naming.groups(_table(spark, sf_dir, "documents"), keep=keep).drop("rid")
@@ -52,6 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash": op3_simhash,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_mixing": op7_mixing,
         "op8_hilbert_shards": op8_hilbert_shards,
