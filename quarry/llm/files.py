@@ -26,7 +26,7 @@ def committed(folder: str, *names: str):
     fs.create_dir(path, recursive=True)
     attempt = uuid.uuid4().hex
     drafts = [f"{path}/_{n}.{attempt}" for n in names]
-    streams = [fs.open_output_stream(d, buffer_size=1 << 20) for d in drafts]
+    streams = [fs.open_output_stream(d, compression=None, buffer_size=1 << 20) for d in drafts]
     try:
         yield streams
     except BaseException:
