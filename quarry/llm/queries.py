@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, naming, packing, records, sharding, simhash, warc
+from . import langid, mixing, naming, packing, records, sharding, simhash, warc
 
 END_ID = 2
 
@@ -28,6 +28,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.filter("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    model = langid.fit(docs, ~held_out)
+    return langid.identify(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
@@ -63,6 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_language_id": op2_language_id,
         "op3_simhash": op3_simhash,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_mixing": op7_mixing,
