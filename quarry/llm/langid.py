@@ -152,6 +152,8 @@ def train(counts: dict[str, tuple[list[str], np.ndarray]], order: int = ORDER) -
     chars, n = np.unique(np.concatenate([np.frombuffer("".join(w).encode("utf-32-le"), "<u4") for w, _ in counts.values()] or [np.empty(0, "<u4")]), return_counts=True)
     chars = np.sort(chars[np.argsort(-n, kind="stable")[: (1 << 16) - _OTHER - 2]])
     model = Model(langs, chars, [np.empty(0, np.uint64)] * order, [np.zeros((1, len(langs)))] * order, [np.zeros((1, len(langs)))] * order, np.zeros(len(langs)), np.zeros(len(langs)))
+    if not langs:
+        return model
     tables: list[list[dict]] = []
     for lang in langs:
         words, freq = counts[lang]

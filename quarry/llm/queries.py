@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, naming, packing, records, sharding, simhash, warc
+from . import chat, langid, mixing, naming, packing, records, sharding, simhash, warc
+from .common import materialise
 
 END_ID = 2
+HARD_TEXT = r"\### Assistant: </turn> ok"
 
 
 def vocabulary() -> str:
@@ -40,6 +42,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(materialise(chat.format_turns(turns.unionByName(hard)), "chat"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = {"text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)}
     return naming.groups(_table(spark, sf_dir, "documents"), keep=keep).drop("rid")
@@ -72,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_language_id": op2_language_id,
         "op3_simhash": op3_simhash,
+        "op4_chat_format": op4_chat_format,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_mixing": op7_mixing,
         "op8_hilbert_shards": op8_hilbert_shards,
@@ -93,6 +102,23 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN page_id <> best THEN best END AS refers_to
             FROM g
         """,
+        "op4_chat_format": r"""
+            WITH t AS (
+                SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+                UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+            ), f AS (
+                SELECT *, '<|turn|>' || role || chr(10)
+                       || replace(replace(text, '\', '\\'), '<|', '\<|') || '<|end|>' || chr(10) AS formatted
+                FROM t
+            )
+            SELECT conv_id, count(*) AS n_turns,
+                   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+                   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                   sum(length(formatted))::BIGINT AS formatted_chars
+            FROM f GROUP BY conv_id
+        """,
         "op5_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
