@@ -149,11 +149,20 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", *, row: str
     """(rid, key, the `keep` columns, keep_id, group_size, kept) for every row of `docs`.
 
     Of rows with equal texts the one with the largest key stays; among repeats of that
-    key, the last in row order. A null key is the smallest.
+    key, the last in row order. A null key is the smallest. Only identities of several rows
+    are joined back, from a written table, so the adaptive join can split a large group.
     """
     if row is None:
         docs, row = numbered(docs, "row_"), "row_"
     named_rows = materialise(identities(docs, text, row=row, keep={key: F.col(key)} | (keep or {})), "identities")
-    best = named_rows.groupBy("level", "name").agg(F.max(F.struct(F.col(key).alias("key"), "rid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    both = named_rows.join(best, ["level", "name"])  # a large group is split by the adaptive skew join
-    return both.select("rid", key, *(keep or {}), F.col("best.key").alias("keep_id"), "group_size", (F.col("best.rid") == F.col("rid")).alias("kept"))
+    best = named_rows.groupBy("level", "name").agg(F.max(F.struct(F.col(key).alias("key"), "rid")).alias("best"), F.count(F.lit(1)).alias("n"))
+    best = materialise(best.filter("n > 1"), "shared-identities")
+    both = named_rows.join(best, ["level", "name"], "left")
+    return both.select(
+        "rid",
+        key,
+        *(keep or {}),
+        F.when(F.col("n").isNull(), F.col(key)).otherwise(F.col("best.key")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).alias("group_size"),
+        (F.col("n").isNull() | (F.col("best.rid") == F.col("rid"))).alias("kept"),
+    )

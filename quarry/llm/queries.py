@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, naming, packing, records, sharding, simhash, warc
+from . import chat, langid, mixing, naming, packing, records, sharding, simhash, topk, warc
 from .common import materialise
 
 END_ID = 2
@@ -53,6 +53,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.groups(_table(spark, sf_dir, "documents"), keep=keep).drop("rid")
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.pmod("vec_id", F.lit(100)) == 0, 10)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_chat_format": op4_chat_format,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_topk_search": op6_topk_search,
         "op7_mixing": op7_mixing,
         "op8_hilbert_shards": op8_hilbert_shards,
         "op9_token_records": op9_token_records,
@@ -124,4 +130,17 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
         """,
+        "op6_topk_search": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+                WHERE embedding IS NOT NULL
+                  AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+            ), s AS (
+                SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+                FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            ), r AS (
+                SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+            )
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+        """,
     }

@@ -170,7 +170,14 @@ def components(docs: DataFrame, *, words: int = WORDS, limit: int = THRESHOLD, r
     prints = materialise(source.mapInArrow(_fingerprints(words, SEED), "row long, doc_id long, print long"), "prints")
     unique = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "unique-prints")
     found = roots(links(unique, limit))
-    rooted = unique.join(found, unique["print"] == found["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.select("print", "root").join(ids, "root")
+    # Least doc_id of each component of several fingerprints; any other fingerprint has its own.
+    # Both sides of every join are written tables, so the adaptive join can split a large component.
+    linked = unique.join(found, unique["print"] == found["node"]).select("print", "least", "root")
+    heads = found.select("root").distinct()
+    linked = linked.unionByName(unique.join(heads, unique["print"] == heads["root"]).select("print", "least", "root"))
+    linked = materialise(linked, "linked-prints")
+    ids = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    linked = linked.select(F.col("print").alias("print_"), "root").join(ids, "root")
+    known = unique.join(linked, F.col("print") == F.col("print_"), "left").select("print", F.coalesce("root", "print").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    known = materialise(known, "print-components")
     return prints.join(known, "print").select("row", "doc_id", "print", "root", "component_id")

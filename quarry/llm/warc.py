@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_workers, shared_dir
+from .common import ensure_workers, materialise, shared_dir
 from .files import committed, open_fs
 
 CHUNK = 1 << 16
@@ -37,8 +37,8 @@ def chunk_table(pages: DataFrame, *, key: str = "page_id", body: str = "html", u
     bytes). Of equal payloads of MIN_REVISIT bytes or more, the records with the largest
     page_id are responses (repeated rows each) and the others revisits; a null page_id is
     smaller than any, and rows that have no other stay responses. Groups are found by
-    aggregating digests before the shuffle; joining them back leaves a large group to the
-    adaptive skew join.
+    aggregating digests before the shuffle and written; joined back from there, a large
+    group is split by the adaptive skew join.
     """
     payload = F.coalesce(pages[body].cast("string"), F.lit("")).cast("binary")
     rows = pages.select(pages[key].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), payload.alias("payload"))
@@ -47,7 +47,7 @@ def chunk_table(pages: DataFrame, *, key: str = "page_id", body: str = "html", u
     same = F.when(F.col("payload_bytes") >= MIN_REVISIT, F.sha2("payload", 256)).alias("same")
     rows = rows.select("*", same)
     groups = rows.filter("same is not null").groupBy("same").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("copies"))
-    groups = groups.filter("copies > 1 and best is not null").select(F.col("same").alias("same_"), "best")
+    groups = materialise(groups.filter("copies > 1 and best is not null").select(F.col("same").alias("same_"), "best"), "equal-payloads")
     rows = rows.join(groups, F.col("same") == F.col("same_"), "left")
     revisit = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
     rows = rows.withColumn("refers_to", F.when(revisit, F.col("best")))
