@@ -1 +1 @@
-"""Functions."""
+"""Bound expressions as Spark columns."""

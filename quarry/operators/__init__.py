@@ -1 +1 @@
-"""Operators."""
+"""Bound queries as DataFrames."""

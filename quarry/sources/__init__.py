@@ -1 +1 @@
-"""Sources."""
+"""Tables: discovery, footers, zone maps and scans."""
