@@ -168,12 +168,9 @@ def scan(engine: Engine, args) -> None:
 
 
 def single(engine: Engine, path: str, df):
-    import os
-
-    from .sources.catalog import Table
+    from .sources.catalog import Table, uri
 
-    uri = path if "://" in path else f"file://{os.path.abspath(path)}"
-    table = Table("file", uri, [(uri, 0, 0)], engine.spark)
+    table = Table("file", uri(path), [(uri(path), 0, 0)], engine.spark)
     table.__dict__["schema"] = df.schema
     return table
 

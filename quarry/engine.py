@@ -241,15 +241,19 @@ def deadline(spark: SparkSession, seconds: float | None):
     if not seconds:
         yield
         return
-    context, tag, late = spark.sparkContext, f"quarry-{uuid.uuid4().hex}", threading.Event()
+    context, tag, late, over = spark.sparkContext, f"quarry-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
     def stop() -> None:
+        if over.wait(seconds):
+            return
         late.set()
-        context.cancelJobsWithTag(tag)
+        # Jobs that start after the first call are cancelled too.
+        while not over.wait(0.05):
+            context.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(seconds, stop)
+    watch = threading.Thread(target=stop, daemon=True)
     context.addJobTag(tag)
-    timer.start()
+    watch.start()
     try:
         yield
     except Exception:
@@ -257,7 +261,8 @@ def deadline(spark: SparkSession, seconds: float | None):
             raise TimedOut("query timeout") from None
         raise
     finally:
-        timer.cancel()
+        over.set()
+        watch.join()
         context.removeJobTag(tag)
 
 

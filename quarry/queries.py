@@ -180,7 +180,7 @@ def oracle_sql() -> dict[str, str]:
     window = STATEMENTS["q2_time_window"][1]
     return out | {
         "cat_clustering": "SELECT COUNT(*) AS rows, bool_and(ts >= before) AS clustered FROM (SELECT ts, lag(ts, 1, ts) OVER (ORDER BY event_id) AS before FROM events)",
-        "cat_ts_range": "SELECT epoch_ms(MIN(ts)) AS min_ts_ms, epoch_ms(MAX(ts)) AS max_ts_ms FROM events",
+        "cat_ts_range": "SELECT epoch_us(MIN(ts)) // 1000 AS min_ts_ms, epoch_us(MAX(ts)) // 1000 AS max_ts_ms FROM events",
         "scan_zone_map": window,
         "scan_row_groups": window,
     }

@@ -82,7 +82,7 @@ def handler(engine: Engine, settings: Settings) -> type[BaseHTTPRequestHandler]:
             if path == "/health":
                 self.answer(200, {"ok": True, "version": __version__, "data_dir": engine.catalog.path})
             elif path == "/tables":
-                self.guarded(lambda: {"tables": [t.item() for t in fresh().tables.values()]})
+                self.guarded(lambda: {"data_dir": engine.catalog.path, "tables": [t.item() for t in fresh().tables.values()]})
             elif path.startswith("/tables/"):
                 self.guarded(lambda: fresh()[unquote(path.removeprefix("/tables/"))].info())
             elif path == "/bench":

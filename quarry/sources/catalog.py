@@ -8,6 +8,7 @@ will do; footers are read on demand, and only a store that Arrow reads too has t
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from functools import cached_property
@@ -28,10 +29,15 @@ def data_dir(flag: str | None = None) -> str:
     return flag or os.environ.get(DIR_VARIABLE) or DEFAULT_DIR
 
 
+def uri(path: str) -> str:
+    """The path as a URI; Hadoop prints local ones as file:/x."""
+    return path if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path) else f"file://{os.path.abspath(path)}"
+
+
 def list_dir(spark: SparkSession, path: str) -> list[tuple[str, bool, str, int, int]] | None:
     """(name, is directory, path, size, modified) of the entries, sorted by name; None if there is no such directory."""
     jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path if "://" in path else f"file://{os.path.abspath(path)}")
+    where = jvm.org.apache.hadoop.fs.Path(uri(path))
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(where) or not fs.getFileStatus(where).isDirectory():
         return None

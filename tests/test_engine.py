@@ -1,0 +1,243 @@
+import json
+import random
+from datetime import datetime, timedelta
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+from quarry.engine import Engine, Options
+from quarry.errors import BindFailure, CatalogFailure, NotFound, QueryError, TimedOut
+from quarry.plans.parser import parse_predicate
+
+START = datetime(2024, 1, 1)
+
+
+@pytest.fixture(scope="module")
+def data(tmp_path_factory):
+    """events: 2 files of 4 row groups of 250 rows, ts rising, NULLs and all types; era: one file of two eras."""
+    root = tmp_path_factory.mktemp("tables")
+    rng = random.Random(1)
+    rows = [
+        {
+            "event_id": i,
+            "ts": START + timedelta(hours=i),
+            "kind": rng.choice(["view", "click", None]),
+            "n": rng.choice([1, 2, 3, None]),
+            "amount": rng.choice([1.5, -2.0, 0.0, None]),
+            "ok": rng.choice([True, False, None]),
+            "user": rng.randrange(50),
+        }
+        for i in range(2000)
+    ]
+    schema = pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("kind", pa.string()), ("n", pa.int32()), ("amount", pa.float64()), ("ok", pa.bool_()), ("user", pa.int64())])
+    (root / "events").mkdir()
+    for f in range(2):
+        pq.write_table(pa.Table.from_pylist(rows[f * 1000 : f * 1000 + 1000], schema), root / "events" / f"part-{f}.parquet", row_group_size=250)
+    (root / "empty_dir").mkdir()
+    pq.write_table(pa.table({"v": [1] * 100 + [2] * 100, "ts": pa.array([datetime(2020, 1, 1)] * 100 + [datetime(2024, 6, 1)] * 100, pa.timestamp("ms"))}), root / "era.parquet", row_group_size=100)
+    return str(root)
+
+
+@pytest.fixture(scope="module")
+def engine(spark, data):
+    return Engine(spark, data)
+
+
+@pytest.fixture(scope="module")
+def oracle(data):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{data}/events/*.parquet'")
+    return c
+
+
+MODES = [Options(), Options(engine="row"), Options(skip=False, prune=False), Options(scan="rowgroup"), Options(jobs=1, engine="naive", skip=False)]
+SAME_SQL = [
+    "SELECT COUNT(*), COUNT(n), SUM(n), AVG(amount), MIN(kind), MAX(ok), MIN(ts) FROM events",
+    "SELECT kind, ok, COUNT(*), SUM(event_id) FROM events GROUP BY kind, ok",
+    "SELECT n, MIN(amount) FROM events WHERE NOT (amount < 0 OR kind = 'view') GROUP BY n",
+    "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-27 12:00:00'",
+    "SELECT event_id FROM events WHERE event_id NOT BETWEEN 100 AND 1900 AND n IN (1, 3)",
+    "SELECT * FROM events WHERE ok AND amount >= 0 AND event_id < 700",
+    "SELECT event_id FROM events WHERE event_id < 0",
+    "SELECT kind, COUNT(*) FROM events WHERE event_id < 0 GROUP BY kind",
+]
+
+
+@pytest.mark.parametrize("sql", SAME_SQL)
+def test_modes_agree_with_duckdb(engine, oracle, sql):
+    want = sorted(map(str, oracle.sql(sql.replace("SUM(n)", "SUM(n)::BIGINT").replace("SUM(event_id)", "SUM(event_id)::BIGINT")).fetchall()))
+    for mode in MODES:
+        assert sorted(str(tuple(r)) for r in engine.run(sql, mode).rows) == want, mode
+
+
+def test_random_predicates(engine, oracle):
+    rng = random.Random(7)
+
+    def leaf():
+        column, value = rng.choice([("n", lambda: rng.choice(["1", "2", "NULL", "1.5"])), ("event_id", lambda: str(rng.randrange(2000))), ("kind", lambda: rng.choice(["'view'", "'click'", "'zz'", "NULL"])), ("amount", lambda: rng.choice(["0", "-2.0", "1.5", "NULL"])), ("ts", lambda: f"TIMESTAMP '2024-0{rng.randrange(1, 4)}-11'")])
+        form = rng.randrange(5)
+        if form == 0:
+            return f"{column} IS {rng.choice(['', 'NOT '])}NULL"
+        if form == 1:
+            return f"{column} {rng.choice(['', 'NOT '])}IN ({value()}, {value()})"
+        if form == 2:
+            return f"{column} {rng.choice(['', 'NOT '])}BETWEEN {value()} AND {value()}"
+        return f"{column} {rng.choice(['=', '<>', '<', '<=', '>', '>='])} {value()}"
+
+    def any_of(depth):
+        if depth == 0:
+            return leaf()
+        return rng.choice([f"({any_of(depth - 1)} AND {any_of(depth - 1)})", f"({any_of(depth - 1)} OR {any_of(depth - 1)})", f"NOT {any_of(depth - 1)}"])
+
+    for i in range(30):
+        where = any_of(rng.randrange(3))
+        want = sorted(r[0] for r in oracle.sql(f"SELECT event_id FROM events WHERE {where}").fetchall())
+        mode = MODES[i % 4]
+        assert sorted(r[0] for r in engine.run(f"SELECT event_id FROM events WHERE {where}", mode).rows) == want, where
+
+
+def test_null_order(engine):
+    rows = engine.run("SELECT kind FROM events GROUP BY kind ORDER BY kind").rows
+    assert [r[0] for r in rows] == ["click", "view", None]
+    rows = engine.run("SELECT kind FROM events GROUP BY kind ORDER BY kind DESC").rows
+    assert [r[0] for r in rows] == [None, "view", "click"]
+
+
+def test_limits(engine):
+    assert engine.run("SELECT * FROM events LIMIT 0").rows == []
+    assert len(engine.run("SELECT * FROM events LIMIT 7").rows) == 7
+    capped = engine.run("SELECT event_id FROM events ORDER BY event_id", Options(cap=3))
+    assert [r[0] for r in capped.rows] == [0, 1, 2] and capped.truncated
+    assert not engine.run("SELECT event_id FROM events LIMIT 3", Options(cap=3)).truncated
+
+
+def test_time_window_reads_few_row_groups(engine):
+    sql = "SELECT COUNT(*) FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-08'"
+    result = engine.run(sql)
+    p = result.profile
+    assert (p["row_groups_total"], p["row_groups_read"], p["row_groups_skipped"], p["columns_read"]) == (8, 1, 7, 1)
+    assert result.rows[0][0] == 168 and p["rows_read"] == 250  # Spark skipped by the companion column
+    assert engine.run(sql, Options(scan="rowgroup")).profile["rows_read"] == 250
+    assert engine.run(sql, Options(skip=False)).profile["row_groups_skipped"] == 0
+    plan = engine.frame(engine.bind(sql))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(event_id,0)" in plan and "part-1" not in str(engine.frame(engine.bind(sql)).inputFiles())
+
+
+def test_two_eras(engine):
+    result = engine.run("SELECT COUNT(*) FROM era WHERE ts >= 1717200000000")
+    assert result.rows[0][0] == 100
+    assert (result.profile["row_groups_read"], result.profile["row_groups_skipped"]) == (1, 1)
+
+
+def test_pruning_shows_in_the_scan(engine):
+    def schema(sql, **kw):
+        text = engine.frame(engine.bind(sql), Options(**kw))._jdf.queryExecution().executedPlan().toString()
+        return text.split("ReadSchema: ")[1].split("\n")[0]
+
+    assert schema("SELECT COUNT(*) FROM events") == "struct<>"
+    assert schema("SELECT kind FROM events WHERE n > 1", skip=False) == "struct<kind:string,n:int>"
+
+
+def test_explain_text_and_json(engine):
+    q = engine.bind("SELECT kind, COUNT(*) FROM events WHERE event_id < 300 AND (n = 1 OR n < event_id) GROUP BY kind ORDER BY COUNT(*) DESC LIMIT 2")
+    plan = engine.explain(q, Options(jobs=3))
+    assert plan.text() == "\n".join(
+        [
+            "Limit 2",
+            "  Sort count(*) DESC",
+            "    HashAggregate keys=[kind] aggs=[count(*)]",
+            "      Filter residual=((n = 1) OR (n < event_id))",
+            "        ParquetScan table=events",
+            "          files=2  row_groups=8  kept_row_groups=2  skipped=6",
+            "          columns=[event_id, n, kind]   -- pruned 4 cols",
+            "          pushed=(event_id < 300)",
+            "          jobs=3",
+        ]
+    )
+    scan = plan.json()["child"]["child"]["child"]["child"]
+    assert (scan["op"], scan["kept_row_groups"], scan["skipped_row_groups"], scan["pruned_cols"]) == ("ParquetScan", 2, 6, 4)
+    never = engine.explain(engine.bind("SELECT kind FROM events WHERE FALSE AND n = 1"))
+    assert "Empty (constant false" in never.text() and never.find("ParquetScan").facts["kept_row_groups"] == 0
+    assert "limit_pushdown=5" in engine.explain(engine.bind("SELECT kind FROM events LIMIT 5")).text()
+    analysed = engine.run("SELECT COUNT(*) FROM events WHERE event_id < 300").plan.text()
+    assert "rows_in=500" in analysed and "bytes_read=" in analysed
+
+
+def test_json_result(engine):
+    out = engine.run("SELECT event_id, ts, amount, ok, n FROM events WHERE event_id = 5").json()
+    assert out["columns"] == ["event_id", "ts", "amount", "ok", "n"]
+    assert out["types"] == ["int64", "timestamp[us]", "float64", "bool", "int32"]
+    assert out["rows"][0][:2] == [5, "2024-01-01T05:00:00Z"]
+    assert json.dumps(out) and out["profile"]["plan"]["op"] == "Project"
+    assert len(engine.run("SELECT event_id FROM events").json()["rows"]) == 1000
+    assert len(engine.run("SELECT event_id FROM events").json(0)["rows"]) == 2000
+
+
+def test_catalog(engine, spark, data, tmp_path):
+    assert list(engine.catalog.tables) == ["era", "events"]
+    t = engine.catalog["events"]
+    assert (t.rows, len(t.groups), len(t.files)) == (2000, 8, 2)
+    assert t.clustering("ts") == (True, "non-decreasing min/max across 7 row-group boundaries")
+    assert not t.clustering("n")[0] and not t.clustering("absent")[0]
+    assert t.time_range_ms("ts") == (1704067200000, 1704067200000 + 1999 * 3600 * 1000)
+    assert t.info()["min_ts_ms"] == 1704067200000
+    with pytest.raises(NotFound, match=r'table "nope" not found \(have era, events\)'):
+        engine.bind("SELECT a FROM nope")
+    assert Engine(spark, str(tmp_path / "missing")).catalog.tables == {}
+    (tmp_path / "t").mkdir()
+    for i, c in enumerate("xy"):
+        pq.write_table(pa.table({c: [1]}), tmp_path / "t" / f"{i}.parquet")
+    with pytest.raises(CatalogFailure):
+        Engine(spark, str(tmp_path)).run("SELECT x FROM t")
+
+
+def test_reload_keeps_unchanged_tables(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    pq.write_table(pa.table({"x": [1]}), tmp_path / "t" / "a.parquet")
+    engine = Engine(spark, str(tmp_path))
+    before = engine.catalog["t"]
+    assert engine.catalog.reload()["t"] is before
+    pq.write_table(pa.table({"x": [2, 3]}), tmp_path / "t" / "b.parquet")
+    assert engine.catalog.reload()["t"] is not before
+    assert engine.run("SELECT COUNT(*) FROM t").rows[0][0] == 3
+
+
+def test_footers_read_by_spark(spark, data, monkeypatch):
+    from quarry.sources import footer
+
+    files = [f"{data}/events/part-{i}.parquet" for i in (0, 1)]
+    direct = footer.read_footers(files)
+    monkeypatch.setattr(footer, "DRIVER_FILES", 1)
+    assert footer.read_footers(files, spark) == direct
+
+
+def test_programmatic_entry(engine, oracle):
+    q = engine.bind_aggregate("events", ["kind"], "count,sum(n)", "amount >= 0", "count:desc", limit=2)
+    result = engine.run(q)
+    assert result.columns == ["kind", "count", "sum_n"]
+    want = oracle.sql("SELECT kind, COUNT(*) c, SUM(n)::BIGINT FROM events WHERE amount >= 0 GROUP BY kind ORDER BY c DESC LIMIT 2").fetchall()
+    assert [tuple(r) for r in result.rows] == want
+    scan = engine.run(engine.bind_scan("events", ["event_id", " kind", "event_id"], "event_id < 2"))
+    assert scan.columns == ["event_id", "kind"] and len(scan.rows) == 2
+    for bad in ({"group": ["zz"]}, {"group": ["kind", "kind"]}, {"aggs": "count,count"}, {"order": "zz"}):
+        with pytest.raises(BindFailure):
+            engine.bind_aggregate(**({"table": "events", "group": ["kind"], "aggs": "count"} | bad))
+    with pytest.raises(BindFailure, match="have event_id"):
+        engine.bind_scan("events", ["zz"])
+
+
+def test_engine_names_and_timeout(engine):
+    with pytest.raises(QueryError, match='unknown engine "gpu"'):
+        engine.run("SELECT COUNT(*) FROM events", Options(engine="gpu"))
+    with pytest.raises(TimedOut):
+        engine.run("SELECT user, COUNT(*) FROM events GROUP BY user", Options(timeout=0.01))
+
+
+def test_result_text(engine):
+    result = engine.run("SELECT kind, COUNT(*) FROM events GROUP BY kind ORDER BY kind")
+    lines = result.table().split("\n")
+    assert lines[0].split() == ["kind", "count"] and lines[3].split()[0] == "NULL"
+    assert result.fingerprint(False) == sorted(result.fingerprint(True))
+    assert parse_predicate(" ") is None

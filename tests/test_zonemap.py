@@ -1,0 +1,109 @@
+from datetime import datetime
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import types as T
+
+from quarry.plans import syntax as s
+from quarry.plans.binder import bind_predicate
+from quarry.plans.parser import parse_predicate
+from quarry.sources.footer import ColumnStats, RowGroup, size_text
+from quarry.sources.zonemap import can_skip, conjuncts, fold, pushable
+
+TYPES = {"x": T.LongType(), "y": T.LongType(), "t": T.TimestampNTZType(), "s": T.StringType()}
+
+
+def pred(text):
+    return bind_predicate(parse_predicate(text), TYPES)
+
+
+GROUP = RowGroup("f", 0, 10, 1, {"x": ColumnStats(10, 0, 10, 20), "y": ColumnStats(10, 10), "t": ColumnStats(10, None, datetime(2024, 1, 1), datetime(2024, 2, 1)), "s": ColumnStats(10, 2, "b", "d")})
+
+
+@pytest.mark.parametrize(
+    "text,skipped",
+    [
+        ("x > 20", True), ("x > 19", False), ("x >= 21", True), ("x >= 20", False), ("x < 10", True), ("x < 11", False),
+        ("x <= 9", True), ("x <= 10", False), ("x = 9", True), ("x = 21", True), ("x = 15", False), ("x <> 15", False),
+        ("20 < x", True), ("9 >= x", True), ("x IN (1, 30)", True), ("x IN (1, 15)", False), ("x IN (1, NULL)", False),
+        ("x NOT IN (15)", False), ("x BETWEEN 21 AND 30", True), ("x BETWEEN 1 AND 9", True), ("x BETWEEN 1 AND 10", False),
+        ("x NOT BETWEEN 10 AND 20", True), ("x NOT BETWEEN 11 AND 20", False), ("x IS NULL", True), ("x IS NOT NULL", False),
+        ("y IS NOT NULL", True), ("y > 5", False), ("t IS NULL", False), ("x > 20 AND y = 1", True), ("x > 20 OR y = 1", False),
+        ("x > 20 OR x < 5", True), ("NOT x < 30", False), ("FALSE", True), ("TRUE", False), ("NULL", False), ("x > NULL", False),
+        ("t < TIMESTAMP '2024-01-01'", True), ("t < TIMESTAMP '2024-01-02'", False), ("s = 'a'", True), ("s > 'd'", True),
+        ("x > y", False), ("x > 20.5", True), ("x = 10.5", False), ("s IS NULL", False),
+    ],
+)
+def test_rules(text, skipped):
+    assert can_skip(pred(text), GROUP) == skipped
+
+
+def test_single_value_group():
+    group = RowGroup("f", 0, 3, 1, {"x": ColumnStats(3, 0, 5, 5)})
+    assert can_skip(pred("x <> 5"), group) and not can_skip(pred("x <> 4"), group)
+
+
+VALUES = st.one_of(st.none(), st.integers(-5, 5))
+LEAVES = st.sampled_from(["x", "y"]).flatmap(
+    lambda c: st.one_of(
+        st.builds(lambda op, v: s.Binary(op, s.Column(c), s.Literal(v)), st.sampled_from(["=", "<>", "<", "<=", ">", ">="]), VALUES),
+        st.builds(lambda op, v: s.Binary(op, s.Literal(v), s.Column(c)), st.sampled_from(["=", "<>", "<", "<=", ">", ">="]), VALUES),
+        st.builds(lambda vs, n: s.InList(s.Column(c), tuple(map(s.Literal, vs)), n), st.lists(VALUES, min_size=1, max_size=3), st.booleans()),
+        st.builds(lambda a, b, n: s.Between(s.Column(c), s.Literal(a), s.Literal(b), n), VALUES, VALUES, st.booleans()),
+        st.builds(lambda n: s.IsNull(s.Column(c), n), st.booleans()),
+        st.builds(s.Literal, st.sampled_from([True, False, None])),
+    )
+)
+PREDICATES = st.recursive(LEAVES, lambda x: st.one_of(st.builds(lambda o, a, b: s.Binary(o, a, b), st.sampled_from(["AND", "OR"]), x, x), st.builds(s.Not, x)), max_leaves=6)
+ROWS = st.lists(st.tuples(VALUES, VALUES), min_size=1, max_size=6)
+
+
+def truth(p, row):
+    """True, False or None, by hand."""
+    get = lambda v: row[v.name] if isinstance(v, s.Column) else v.value
+    compare = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+    if isinstance(p, s.Literal):
+        return p.value
+    if isinstance(p, s.Not):
+        v = truth(p.x, row)
+        return None if v is None else not v
+    if isinstance(p, s.IsNull):
+        return (get(p.x) is not None) if p.negated else (get(p.x) is None)
+    if isinstance(p, s.InList):
+        v = [truth(s.Binary("=", p.x, i), row) for i in p.items]
+        out = True if True in v else None if None in v else False
+        return None if out is None else out != p.negated
+    if isinstance(p, s.Between):
+        out = truth(s.Binary("AND", s.Binary(">=", p.x, p.low), s.Binary("<=", p.x, p.high)), row)
+        return None if out is None else out != p.negated
+    if p.op in ("AND", "OR"):
+        a, b, stop = truth(p.left, row), truth(p.right, row), p.op == "OR"
+        return stop if stop in (a, b) else None if None in (a, b) else not stop
+    a, b = get(p.left), get(p.right)
+    return None if a is None or b is None else compare[p.op](a, b)
+
+
+def stats(values):
+    known = [v for v in values if v is not None]
+    return ColumnStats(len(values), len(values) - len(known), min(known, default=None), max(known, default=None))
+
+
+@settings(max_examples=1500, deadline=None)
+@given(PREDICATES, ROWS)
+def test_skipped_groups_have_no_match(p, rows):
+    group = RowGroup("f", 0, len(rows), 1, {"x": stats([r[0] for r in rows]), "y": stats([r[1] for r in rows])})
+    each = [truth(p, {"x": x, "y": y}) for x, y in rows]
+    if can_skip(p, group):
+        assert True not in each
+    assert [truth(fold(p), {"x": x, "y": y}) for x, y in rows] == each
+
+
+def test_splitting():
+    p = pred("x > 1 AND (y = 2 OR x < y) AND s IN ('a')")
+    assert [pushable(c) for c in conjuncts(p)] == [True, False, True]
+
+
+@pytest.mark.parametrize("n,text", [(0, "0 B"), (1023, "1023 B"), (1024, "1.0 KiB"), (1536, "1.5 KiB"), (100 * 1024, "100 KiB"), (5 << 20, "5.0 MiB"), (3 << 30, "3.0 GiB"), (5 << 40, "5.0 TiB")])
+def test_sizes(n, text):
+    assert size_text(n) == text
