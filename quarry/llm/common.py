@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 _own_dir: str | None = None
+_made: list[str] = []
 
 
 def ensure_workers(spark: SparkSession) -> None:
@@ -41,7 +42,24 @@ def shared_dir(spark: SparkSession, what: str) -> str:
         base = Path(_own_dir).as_uri()
     if "://" not in base and base.startswith("/"):
         base = f"file://{base}"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession, keep: int = 0) -> None:
+    """Delete what this process has written to shared storage, but for the first `keep` folders.
+
+    To be called when every result that may still read from there is stored elsewhere;
+    `len(made())` before a run, given as `keep`, limits it to that run.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while len(_made) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def made() -> list[str]:
+    return list(_made)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:

@@ -1,0 +1,33 @@
+import os
+
+import pytest
+
+from quarry.llm import common
+
+
+def test_clean_removes_a_runs_folders(spark):
+    before = len(common.made())
+    kept = common.materialise(spark.range(3), "kept")
+    common.materialise(spark.range(4), "gone")
+    path = common.made()[-1].removeprefix("file://")
+    assert os.path.isdir(path)
+    common.clean(spark, before + 1)
+    assert not os.path.exists(path) and kept.count() == 3
+    assert len(common.made()) == before + 1
+
+
+def test_names_do_not_clash():
+    assert common.spare_name(["a", "TIE", "tie_"], "tie") == "tie__"
+
+
+def test_shared_storage_is_asked_for_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session(), "x")
