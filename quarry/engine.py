@@ -153,7 +153,7 @@ class Engine:
         table = self.catalog[q.table]
         if options.scan == "rowgroup":
             df = rowgroup_scan(table, self.kept(q, table, options.skip), q.columns if options.prune else q.schema.fieldNames())
-        elif options.skip and q.where is not None:
+        elif options.skip and q.where is not None and table.inspectable:
             df = skipping_scan(table, self.kept(q, table))
         else:
             df = table.read()

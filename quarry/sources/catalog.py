@@ -13,12 +13,13 @@ from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..errors import CatalogFailure, NotFound, quoted
 from ..plans.binder import type_name
-from .footer import Footer, RowGroup, read_footers, size_text
+from .footer import Footer, RowGroup, open_file, read_footers, size_text
 
 DEFAULT_DIR = "./data/tables"
 DIR_VARIABLE = "QUARRY_DATA_DIR"
@@ -67,6 +68,15 @@ class Table:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*(files if files is not None else [self.path]))
 
+    @cached_property
+    def inspectable(self) -> bool:
+        """Whether Arrow reads the store that the files are in; without that there are no zone maps."""
+        try:
+            open_file(self.files[0][0])
+        except (pa.ArrowException, OSError):
+            return False
+        return True
+
     @cached_property
     def footers(self) -> list[Footer]:
         return read_footers([f[0] for f in self.files], self.spark)

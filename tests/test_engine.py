@@ -204,6 +204,14 @@ def test_reload_keeps_unchanged_tables(spark, tmp_path):
     assert engine.run("SELECT COUNT(*) FROM t").rows[0][0] == 3
 
 
+def test_store_without_footers(spark, data):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{data}")
+    remote = Engine(spark, "viewfs://store/in")
+    assert not remote.catalog["events"].inspectable
+    frame = remote.frame(remote.bind("SELECT COUNT(*) FROM events WHERE event_id < 300"))
+    assert frame.first()[0] == 300
+
+
 def test_footers_read_by_spark(spark, data, monkeypatch):
     from quarry.sources import footer
 
