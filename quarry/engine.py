@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from .errors import BindFailure, QueryError, TimedOut, quoted
 from .operators.query import build
-from .plans.binder import Aggregate, Bound, Output, SortKey, bind, bind_predicate, parse_aggregates, type_name
+from .plans.binder import Bound, Output, SortKey, bind, bind_predicate, parse_aggregates, type_name
 from .plans.explain import Step, explain
 from .plans.parser import parse, parse_predicate
 from .sources.catalog import Catalog, Table
@@ -286,6 +286,3 @@ def scanned_rows(df: DataFrame) -> int | None:
 
     walk(df._jdf.queryExecution().executedPlan())
     return sum(found) if found else None
-
-
-__all__ = ["Aggregate", "Engine", "Options", "Result"]

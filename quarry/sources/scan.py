@@ -15,7 +15,6 @@ from itertools import groupby
 
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 

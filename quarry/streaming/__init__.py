@@ -1 +1 @@
-"""Streaming."""
+"""Nothing here: the dialect is batch only, as there is no notion of a stream, window or watermark in it."""
