@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_workers
+from .common import ensure_workers, release
 from .tokens import slices
 
 ORDER = 4
@@ -39,7 +39,7 @@ NONE = "und"
 BODY = "_text_to_identify_"
 _PAD, _END, _OTHER = 1, 2, 3
 #: Texts are folded in slices of so many bytes.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -308,8 +308,12 @@ def fit(docs: DataFrame, chosen: Column | None = None, *, order: int = ORDER, tr
     for lang in table["lang"].unique().to_pylist():
         part = table.filter(pc.equal(table["lang"], lang))
         by[lang] = (part["word"].to_pylist(), part["n"].to_numpy().astype(float))
+        del part
     model = train(by, order)
-    calibrate(model, _draw(some.filter(half), sizes, calibration_docs * 5, "calibrate").select("text").toArrow()["text"].to_pylist() if by else [])
+    known = bool(by)
+    del table, by
+    release()
+    calibrate(model, _draw(some.filter(half), sizes, calibration_docs * 5, "calibrate").select("text").toArrow()["text"].to_pylist() if known else [])
     return model
 
 
@@ -321,6 +325,7 @@ def _predictions(model, names: list[str]):
                 kept = [batch.column(i).slice(at, to - at) for i in range(batch.num_columns - 1)]
                 extra = [pa.array(found["lang_pred"], pa.string()), pa.array(found["score"]), pa.array(found["entropy"], from_pandas=True), pa.array(found["rejected"])]
                 yield pa.RecordBatch.from_arrays([*kept, *extra], names=names)
+        release()
 
     return run
 

@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import ensure_workers
+from .common import ensure_workers, release
 from .tokens import encoder, slices
 
+#: Token ids handed on at once.
+BATCH_IDS = 1 << 23
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -35,16 +37,15 @@ def _pieces(path: str, end_id: int, max_len: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end_id)
         part = TaskContext.get().partitionId()
-        made = 0
+        made, width = 0, max(1, BATCH_IDS // max_len)
         for batch in batches:
             for at, to in slices(batch["text"]):
                 ids, lens = enc.encode(batch["text"].slice(at, to - at))
                 lengths, doc = cut_lengths(lens, max_len)
                 stops = np.cumsum(lengths)
                 doc_at = np.cumsum(lens) - lens
-                width = int(np.searchsorted(stops, (1 << 29) - 1))  # an Arrow binary column ends at 2 GiB
-                for a in range(0, len(lengths), max(1, width)):
-                    b = min(len(lengths), a + max(1, width))
+                for a in range(0, len(lengths), width):
+                    b = min(len(lengths), a + width)
                     base = int(stops[a] - lengths[a])
                     cuts = np.concatenate([[0], stops[a:b] - base])
                     n = b - a
@@ -63,6 +64,7 @@ def _pieces(path: str, end_id: int, max_len: int):
                         ],
                         names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                     )
+        release()
 
     return run
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_workers, shared_dir, spare_name
+from .common import ensure_workers, release, shared_dir, spare_name
 from .files import committed, open_fs
 from .tokens import encoder, slices
 
@@ -94,6 +94,7 @@ def _write(folder: str, tokenizer: str, end_id: int | None):
                         data.write(record)
                         index.write(index_entry(at, start))
                         at, start, records = at + len(record), start + n, records + 1
+        release()
         yield pa.RecordBatch.from_pydict({"part": [part], "records": [records], "tokens": [start]})
 
     return run

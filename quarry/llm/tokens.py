@@ -17,13 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text encoded at once; bounds the memory beside the longest text.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 #: A text beyond this is cut at spaces and encoded in parts.
 LONG_BYTES = 8 << 20
 #: Words remembered by a worker; forgotten together when exceeded.
 CACHE_WORDS = 250_000
 
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _PROBES = ["The en,", "Éauß x's", "a<|endoftext|>b", "1,2 don't", "", "<|ENDOFTEXT|>", "ÀÖ.,.", "é　z", "中文 Σας", "́x"]
 
 
@@ -36,52 +36,57 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        self._words: dict[str, list[int]] = {}
+        self._words: dict[str, tuple[int, ...]] = {}
+        self._odd: dict[str, tuple[int, ...]] = {}
         whole = [i for p in _PROBES for i in self._ids([p])[0]]
         self.by_word = self._ids([" ".join(_PROBES), "\n".join(_PROBES)]) == [whole, whole] and not self._ids([" \n "])[0]
         self._bytes = _byte_letters()
         plain = ["the", "Éauß", "xénonç"]
-        self.by_model = self.by_word and all(self._model_ids(w) == self._ids([w])[0] for w in plain)
+        self.by_model = self.by_word and all(self._model_ids(w) == tuple(self._ids([w])[0]) for w in plain)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _model_ids(self, word: str) -> list[int]:
+    def _model_ids(self, word: str) -> tuple[int, ...]:
         """Ids of a word of Latin-1 letters: its normal form is its lower case, and it is one piece."""
         word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self._bytes)
-        return [t.id for t in self.tokenizer.model.tokenize(word)]
+        return tuple([t.id for t in self.tokenizer.model.tokenize(word)])
 
-    def _learn(self, words: list[str]) -> list[list[int]]:
+    def _learn(self, words: list[str]) -> list:
         """Ids of each distinct word."""
-        known = self._words
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        if len(self._words) + len(self._odd) > CACHE_WORDS:
+            self._words.clear()
+            self._odd.clear()
+        known, other = self._words, self._odd
         out: list = [None] * len(words)
         odd = []
         for i, word in enumerate(words):
-            ids = known.get(word)
+            core = word.rstrip(".,")
+            # Only words of plain letters are known by their lower case.
+            ids = known.get(core.lower())
             if ids is None:
-                m = _PLAIN.fullmatch(word) if self.by_model else None
-                if m is None:
+                ids = other.get(word)
+                if ids is not None:
+                    out[i] = ids
+                    continue
+                if not self.by_model or _PLAIN.fullmatch(core) is None:
                     odd.append(i)
                     continue
-                core, end = m[1].lower(), m[2]
-                ids = known.get(core)
-                if ids is None:
-                    ids = known[core] = self._model_ids(core)
-                if end:
-                    tail = known.get(end)
-                    if tail is None:
-                        tail = known[end] = self._ids([end])[0]
-                    ids = ids + tail
+                ids = known[core.lower()] = self._model_ids(core)
+            if len(core) < len(word):
+                tail = word[len(core) :]
+                end = other.get(tail)
+                if end is None:
+                    end = other[tail] = tuple(self._ids([tail])[0])
+                ids = ids + end
             out[i] = ids
         if odd:
             for i, ids in zip(odd, self._ids([words[i] for i in odd])):
                 out[i] = ids
                 if len(words[i]) < 64:
-                    known[words[i]] = ids
+                    other[words[i]] = tuple(ids)
         return out
 
     def _flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,13 +101,11 @@ class TextEncoder:
         each = self._learn(coded.dictionary.to_pylist())
         word_lens = np.fromiter(map(len, each), np.int64, len(each))
         flat = np.fromiter((i for x in each for i in x), np.uint32, int(word_lens.sum()))
-        word_at = np.cumsum(word_lens) - word_lens
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        lens = word_lens[codes]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(word_at[codes] - (ends - lens), lens) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])
+        starts = np.concatenate([[0], np.cumsum(word_lens)])
+        by_word = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(flat)).take(coded.indices)
+        bounds = by_word.offsets.to_numpy()
+        ids = by_word.values.to_numpy()[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
         stops = np.cumsum(per_text)
         return ids, bounds[stops] - bounds[stops - per_text]
 
