@@ -12,7 +12,7 @@ far above what known texts of its length have.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,11 @@ ORDER = 4
 TRAIN_DOCS = 1500
 #: Expected number of texts for each language that set the rejection bounds.
 CALIBRATION_DOCS = 600
-#: Languages learned at most, the most frequent; with the two numbers above it bounds the model.
-MAX_LANGS = 256
+#: Up to so many languages have the two numbers above; more share what these would have, with `LEAST` texts each at least.
+FULL_LANGS = 256
+LEAST = 32
+#: Languages whose scores sit side by side; more are trained and scored group by group.
+GROUP = 32
 #: A text is rejected if its cross-entropy exceeds the highest of calibration texts of its length by this (nats a character).
 MARGIN = 1.0
 #: Evidence beyond so many characters no longer sharpens a score.
@@ -72,6 +75,13 @@ class Model:
     uniform: np.ndarray
     unseen: np.ndarray
     limits: np.ndarray | None = None
+    #: Models of further groups of languages, over the same alphabet.
+    more: list[Model] = field(default_factory=list)
+
+    @property
+    def every(self) -> list[str]:
+        """The languages of all groups."""
+        return [x for m in (self, *self.more) for x in m.langs]
 
     @property
     def order(self) -> int:
@@ -141,16 +151,27 @@ def _grams(codes: np.ndarray, lens: np.ndarray, order: int) -> np.ndarray:
     return packed[scored]
 
 
+def _alphabet(counts: dict[str, tuple[list[str], np.ndarray]]) -> np.ndarray:
+    chars, n = np.unique(np.concatenate([np.frombuffer("".join(w).encode("utf-32-le"), "<u4") for w, _ in counts.values()] or [np.empty(0, "<u4")]), return_counts=True)
+    return np.sort(chars[np.argsort(-n, kind="stable")[: (1 << 16) - _OTHER - 2]])
+
+
 def train(counts: dict[str, tuple[list[str], np.ndarray]], order: int = ORDER) -> Model:
-    """Fit a model to {language: (distinct words, their counts)}.
+    """Fit a model to {language: (distinct words, their counts)}, with further groups of `GROUP` languages in `more`."""
+    chars, langs = _alphabet(counts), sorted(counts)
+    first, *more = [_train({x: counts[x] for x in langs[at : at + GROUP]}, order, chars) for at in range(0, max(len(langs), 1), GROUP)]
+    first.more = more
+    return first
+
+
+def _train(counts: dict[str, tuple[list[str], np.ndarray]], order: int, chars: np.ndarray) -> Model:
+    """A model of one group.
 
     The highest order discounts raw counts, lower ones the number of distinct
     characters before an n-gram; what the discount frees goes to the next lower
     order, and below single characters to a uniform distribution.
     """
     langs = sorted(counts)
-    chars, n = np.unique(np.concatenate([np.frombuffer("".join(w).encode("utf-32-le"), "<u4") for w, _ in counts.values()] or [np.empty(0, "<u4")]), return_counts=True)
-    chars = np.sort(chars[np.argsort(-n, kind="stable")[: (1 << 16) - _OTHER - 2]])
     model = Model(langs, chars, [np.empty(0, np.uint64)] * order, [np.zeros((1, len(langs)))] * order, [np.zeros((1, len(langs)))] * order, np.zeros(len(langs)), np.zeros(len(langs)))
     if not langs:
         return model
@@ -217,14 +238,17 @@ def scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     per = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = words.flatten().dictionary_encode()
     distinct = coded.dictionary.to_pylist()
-    by_word, lens = model.word_scores(distinct)
     blank = np.array([not w for w in distinct], bool)
-    by_word[blank], lens = 0.0, np.where(blank, 0, lens)
     codes = coded.indices.to_numpy(zero_copy_only=False)
     starts = np.cumsum(per) - per  # a list has one item at least
     if not len(per):
-        return np.zeros((0, len(model.langs))), np.zeros(0, np.int64)
-    return np.add.reduceat(by_word[codes], starts, axis=0), np.add.reduceat(lens[codes], starts)
+        return np.zeros((0, len(model.every))), np.zeros(0, np.int64)
+    by_text = []
+    for group in (model, *model.more):
+        by_word, lens = group.word_scores(distinct)
+        by_word[blank], lens = 0.0, np.where(blank, 0, lens)
+        by_text.append(np.add.reduceat(by_word[codes], starts, axis=0))
+    return np.concatenate(by_text, axis=1) if model.more else by_text[0], np.add.reduceat(lens[codes], starts)
 
 
 def _length_class(chars: np.ndarray) -> np.ndarray:
@@ -258,20 +282,18 @@ def predict(model: Model, texts: pa.Array) -> dict[str, np.ndarray]:
     sure = 1.0 / np.exp(np.maximum((per - top[:, None]) * weight, -700)).sum(1)
     over = -top > model.limits[_length_class(chars)] + MARGIN
     return {
-        "lang_pred": np.where(some, np.array(model.langs, object)[best], NONE),
+        "lang_pred": np.where(some, np.array(model.every, object)[best], NONE),
         "score": np.where(some, sure, 0.0),
         "entropy": np.where(some, -top, np.nan),
         "rejected": ~some | over,
     }
 
 
-def _draw(labelled: DataFrame, counts: dict[str, int], per: float, salt: str) -> DataFrame:
-    """A sample by hash of about `per` texts for each language counted."""
+def _draw(labelled: DataFrame, rates: dict[str, float], salt: str) -> DataFrame:
+    """A sample by hash at the rate of each language; others give no text."""
     draw = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(per / n)).otherwise(rate)
-    return labelled.filter(draw < rate).select("lang", "text")
+    table = pa.table({"lang": pa.array(list(rates), pa.string()), "rate": pa.array(list(rates.values()), pa.float64())})
+    return labelled.join(F.broadcast(labelled.sparkSession.createDataFrame(table)), "lang").filter(draw < F.col("rate")).select("lang", "text")
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,14 +305,27 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from table.rename_columns(["lang", "word", "n"]).to_batches()
 
 
+def _counted(sample: DataFrame) -> dict[str, tuple[list[str], np.ndarray]]:
+    """{language: (distinct words, their counts)} of sampled texts."""
+    counts = sample.mapInArrow(_words, "lang string, word string, n long").filter("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    table = counts.orderBy("lang", "word").toArrow()
+    by = {}
+    at = 0
+    for run in pc.run_end_encode(table["lang"].combine_chunks()).run_ends.to_pylist() if len(table) else []:
+        rows = table.slice(at, run - at)
+        by[rows["lang"][0].as_py()] = (rows["word"].to_pylist(), rows["n"].to_numpy().astype(float))
+        at = run
+    return by
+
+
 def fit(docs: DataFrame, chosen: Column | None = None, *, order: int = ORDER, train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> Model:
     """Train on the rows of `docs` (doc_id, text, lang) with text and lang for which `chosen` holds.
 
-    About `train_docs` whole texts for each of the MAX_LANGS most frequent languages are
-    drawn by a hash of doc_id, and about `calibration_docs` others set the rejection bounds;
-    these parameters bound what the driver receives (distinct words with counts, and the
-    calibration texts) at any corpus size. Languages come from the data; without labelled
-    rows the model has none and every text is `und`.
+    About `train_docs` whole texts for each language are drawn by a hash of doc_id, and about
+    `calibration_docs` others set the rejection bounds; beyond FULL_LANGS languages, each gets
+    fewer, so what the driver receives (distinct words with counts, and the calibration texts)
+    is bounded at any corpus size. Every language with a text with letters is learned. Without
+    labelled rows the model has none and every text is `und`.
     """
     if order > 4:
         raise ValueError("n-grams of at most four characters are packed")
@@ -299,21 +334,21 @@ def fit(docs: DataFrame, chosen: Column | None = None, *, order: int = ORDER, tr
     some = some.select("doc_id", "text", "lang")
     # Texts that calibrate are not trained on.
     half = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 0
-    most = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    sizes = {r["lang"]: r["count"] for r in most}
-    sample = _draw(some.filter(~half), sizes, train_docs * 5 / 4, "train")
-    counts = sample.mapInArrow(_words, "lang string, word string, n long").filter("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    table = counts.orderBy("lang", "word").toArrow()
-    by: dict[str, tuple[list[str], np.ndarray]] = {}
-    for lang in table["lang"].unique().to_pylist():
-        part = table.filter(pc.equal(table["lang"], lang))
-        by[lang] = (part["word"].to_pylist(), part["n"].to_numpy().astype(float))
-        del part
+    sizes = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    part = min(1.0, FULL_LANGS / max(len(sizes), 1))
+    per, per_check = (max(n * part, min(n, LEAST)) for n in (train_docs, calibration_docs))
+    sample = _draw(some.filter(~half), {x: per * 5 / 4 / n for x, n in sizes.items()}, "train")
+    by = _counted(sample)
+    missing = {x: 1.0 for x in sizes if x not in by}
+    if missing:
+        # The hash may pass over all texts of a language, as over repeats of one doc_id.
+        texts = _draw(some.filter(~half & F.col("text").rlike(r"\p{L}")), missing, "all")
+        by |= _counted(texts.groupBy("lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     model = train(by, order)
     known = bool(by)
-    del table, by
+    del by
     release()
-    calibrate(model, _draw(some.filter(half), sizes, calibration_docs * 5, "calibrate").select("text").toArrow()["text"].to_pylist() if known else [])
+    calibrate(model, _draw(some.filter(half), {x: per_check * 5 / n for x, n in sizes.items()}, "calibrate").select("text").toArrow()["text"].to_pylist() if known else [])
     return model
 
 
