@@ -31,6 +31,8 @@ CALIBRATION_DOCS = 600
 #: Up to so many languages have the two numbers above; more share what these would have, with `LEAST` texts each at least.
 FULL_LANGS = 256
 LEAST = 32
+#: Texts are kept from training only where a language has as many others.
+ENOUGH = 10
 #: Languages whose scores sit side by side; more are trained and scored group by group.
 GROUP = 32
 #: A text is rejected if its cross-entropy exceeds the highest of calibration texts of its length by this (nats a character).
@@ -322,7 +324,8 @@ def fit(docs: DataFrame, chosen: Column | None = None, *, order: int = ORDER, tr
     """Train on the rows of `docs` (doc_id, text, lang) with text and lang for which `chosen` holds.
 
     About `train_docs` whole texts for each language are drawn by a hash of doc_id, and about
-    `calibration_docs` others set the rejection bounds; beyond FULL_LANGS languages, each gets
+    `calibration_docs` others set the rejection bounds (none of a language with fewer than ENOUGH texts beside
+    them, which is trained on all); beyond FULL_LANGS languages, each gets
     fewer, so what the driver receives (distinct words with counts, and the calibration texts)
     is bounded at any corpus size. Every language with a text with letters is learned. Without
     labelled rows the model has none and every text is `und`.
@@ -334,21 +337,24 @@ def fit(docs: DataFrame, chosen: Column | None = None, *, order: int = ORDER, tr
     some = some.select("doc_id", "text", "lang")
     # Texts that calibrate are not trained on.
     half = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 0
-    sizes = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = some.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~half, 1)).alias("others")).collect()
+    sizes = {r["lang"]: r["n"] for r in counted}
+    parted = {r["lang"]: r["n"] for r in counted if r["others"] >= ENOUGH}
     part = min(1.0, FULL_LANGS / max(len(sizes), 1))
     per, per_check = (max(n * part, min(n, LEAST)) for n in (train_docs, calibration_docs))
-    sample = _draw(some.filter(~half), {x: per * 5 / 4 / n for x, n in sizes.items()}, "train")
-    by = _counted(sample)
+    sample = _draw(some.filter(~half), {x: per * 5 / 4 / n for x, n in parted.items()}, "train")
+    few = {x: per / n for x, n in sizes.items() if x not in parted}
+    by = _counted(sample.unionByName(_draw(some, few, "train")) if few else sample)
     missing = {x: 1.0 for x in sizes if x not in by}
     if missing:
         # The hash may pass over all texts of a language, as over repeats of one doc_id.
-        texts = _draw(some.filter(~half & F.col("text").rlike(r"\p{L}")), missing, "all")
+        texts = _draw(some.filter(F.col("text").rlike(r"\p{L}")), missing, "all")
         by |= _counted(texts.groupBy("lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     model = train(by, order)
     known = bool(by)
     del by
     release()
-    calibrate(model, _draw(some.filter(half), {x: per_check * 5 / n for x, n in sizes.items()}, "calibrate").select("text").toArrow()["text"].to_pylist() if known else [])
+    calibrate(model, _draw(some.filter(half), {x: per_check * 5 / n for x, n in parted.items()}, "calibrate").select("text").toArrow()["text"].to_pylist() if known else [])
     return model
 
 
