@@ -1,14 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline as cp
 from quarry.llm import nearcopies, simhash
 
-from . import test_pipeline
-
 
 def slow_shingles(text):
     words = [w for w in re.split("[ \t\n\x0b\x0c\r]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
@@ -64,6 +63,43 @@ def test_near_copies_beyond_two_bits_go(spark, docs, tmp_path):
     assert sorted(cp.drop_near_copies(spark, frame, "").collect(), key=str) == want
 
 
-def test_stages_with_this_rule(spark, sf_dir, tmp_path, monkeypatch):
-    monkeypatch.setattr(test_pipeline, "keep_far", keep_unlike)
-    test_pipeline.test_stages_against_brute_force(spark, sf_dir, tmp_path)
+def test_anchors_cover():
+    rng = np.random.default_rng(2)
+    prints = rng.integers(0, 1 << 64, 4000, np.uint64)
+    found = nearcopies.nearest_anchor(prints)
+    assert np.bitwise_count(found ^ prints).max() == 1
+    assert (nearcopies.nearest_anchor(found) == found).all()  # a codeword is its own anchor
+    # Every bit from 0 to 62 is corrected, bit 63 is not.
+    assert all((nearcopies.nearest_anchor(found ^ np.uint64(1 << i)) == found).all() == (i < 63) for i in range(64))
+
+
+def test_fingerprints_are_majorities_of_min_wise_samples():
+    found, per = nearcopies.shingles(pa.array([" ".join(f"w{i}" for i in range(30)), "a b", " ".join(f"w{i}" for i in range(30))]))
+    got = nearcopies.fingerprints(found, per)
+    assert (got[0] == got[2]).all() and (got[0] != got[1]).all()
+    seeds = np.random.default_rng(nearcopies.SEED).integers(0, 1 << 63, (2, nearcopies.SAMPLE * nearcopies.PRINTS), np.uint64)
+    at = np.split(found, np.cumsum(per)[:-1])
+    for t, own in enumerate(at):
+        for p in (0, 7, nearcopies.PRINTS - 1):
+            sample = [min(int(((int(x) ^ int(seeds[0, i])) * (int(seeds[1, i]) << 1 | 1)) % (1 << 64)) for x in own) for i in range(4 * p, 4 * p + 4)]
+            hashes = [int(nearcopies._fold(np.uint64(p), np.array([m], np.uint64))[0]) for m in sample]
+            assert int(got[t, p]) == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) > 2)
+
+
+def test_links_that_no_head_has(spark, docs, tmp_path):
+    """A dense group: edits of edits, so that many links are between texts far from any head."""
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 300)}" for _ in range(120)]
+    rows = []
+    for i in range(160):
+        text = edited(rng, base, rng.choice([0, 1, 3, 5, 6, 8]))
+        rows.append((len(rows), text))
+        for _ in range(rng.choice([0, 0, 2])):
+            text = edited(rng, text.split(), 2)
+            rows.append((len(rows), text))
+    rng.shuffle(rows)
+    docs(rows).repartition(5).write.parquet(str(tmp_path / "documents"))
+    frame = spark.read.parquet(str(tmp_path / "documents"))
+    want = keep_unlike(frame.collect())
+    assert 20 < len(want) < len(rows) - 20
+    assert sorted(cp.drop_near_copies(spark, frame, "").collect(), key=str) == want
