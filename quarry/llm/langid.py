@@ -6,7 +6,7 @@ of all languages sit side by side in arrays sorted by the hash of the n-gram, so
 one binary search serves every language; n-grams that no language has seen are
 scored through the back-off weights of their contexts. A text gets the language
 of the lowest cross-entropy per character, and is rejected where even that is
-far above what known texts of its length have.
+above what all but a stated share of known texts of its language and length have.
 """
 
 from __future__ import annotations
@@ -20,23 +20,31 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_workers, release
+from .common import ensure_workers, materialise, release
 from .tokens import slices
 
 ORDER = 4
-#: Expected number of training texts for each language; the sample is drawn by hash.
+#: Expected number of training texts for each language; the sample is drawn by a hash of doc_id and text.
 TRAIN_DOCS = 1500
 #: Expected number of texts for each language that set the rejection bounds.
 CALIBRATION_DOCS = 600
-#: Up to so many languages have the two numbers above; more share what these would have, with `LEAST` texts each at least.
+#: Expected bytes of either sample for each language at most; where texts are long, fewer are drawn.
+SAMPLE_BYTES = 64 << 20
+#: Distinct words of a language that it is trained on; where a sample has more, they are drawn by hash.
+MOST_WORDS = 200_000
+#: Up to so many languages have the numbers above; more share what these would have, with `LEAST` texts each at least.
 FULL_LANGS = 256
 LEAST = 32
 #: Texts are kept from training only where a language has as many others.
 ENOUGH = 10
 #: Languages whose scores sit side by side; more are trained and scored group by group.
 GROUP = 32
-#: A text is rejected if its cross-entropy exceeds the highest of calibration texts of its length by this (nats a character).
-MARGIN = 1.0
+#: A text is rejected if its cross-entropy exceeds this quantile of calibration texts with its prediction
+#: and length by `MARGIN` (nats a character): at most 1 - QUANTILE of known texts are rejected.
+QUANTILE = 0.99
+MARGIN = 0.75
+#: Length classes are powers of two, the last open.
+CLASSES = 13
 #: Evidence beyond so many characters no longer sharpens a score.
 SHARPEST = 40.0
 NONE = "und"
@@ -67,7 +75,8 @@ def letters(texts: pa.Array) -> pa.Array:
 class Model:
     """langs; a code per character; per order k the sorted hashes of its k-grams and, per language,
     the interpolated log probability of the last character and the log back-off weight of the k-gram as context;
-    the log probability of the uniform distribution and of a character that was never seen."""
+    the log probability of the uniform distribution and of a character that was never seen;
+    the highest accepted cross-entropy of every language (of all groups) and length class."""
 
     langs: list[str]
     alphabet: np.ndarray
@@ -254,22 +263,51 @@ def scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _length_class(chars: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(chars, 1)).astype(int), 12)
+    return np.minimum(np.log2(np.maximum(chars, 1)).astype(int), CLASSES - 1)
 
 
-def calibrate(model: Model, texts: list[str]) -> None:
-    """Set the highest cross-entropy of known texts for each length class; shorter classes bound longer ones from above."""
-    limits = np.full(13, np.nan)
-    for at in range(0, len(texts), 200):
-        score, chars = scores(model, pa.array(texts[at : at + 200], pa.string()))
-        some = chars > 0
-        entropy = -score[some].max(1) / chars[some]
-        np.fmax.at(limits, _length_class(chars[some]), entropy)
-    # A class without texts takes the bound of the next shorter one; one-word texts have a bound of their own kind.
-    full = np.where(np.isnan(limits), -np.inf, limits)
-    full = np.maximum.accumulate(full[::-1])[::-1]
-    worst = -np.log(len(model.alphabet) + 2) * -1.5
-    model.limits = np.where(np.isinf(full), worst, full)
+def limits(seen: dict[tuple[int, int], float], langs: int) -> np.ndarray:
+    """Bounds for all languages and length classes from the quantiles seen, {(language, class): entropy}.
+
+    A class that has none takes that of the nearest shorter class, whose texts vary more; below the
+    shortest class seen, each halving of the length allows another MARGIN. A language that has none
+    at all takes the greatest bound of the others, and without any bound nothing is rejected.
+    """
+    out = np.full((langs, CLASSES), np.nan)
+    for (lang, at), entropy in seen.items():
+        out[lang, at] = entropy + MARGIN
+    for row in out:
+        known = np.flatnonzero(~np.isnan(row))
+        for at in range(CLASSES) if len(known) else ():
+            before = known[known <= at]
+            row[at] = row[before[-1]] if len(before) else row[known[0]] + MARGIN * (known[0] - at)
+    most = np.where(np.isnan(out), -np.inf, out).max(0, initial=-np.inf)
+    return np.where(np.isnan(out), np.where(np.isinf(most), np.inf, most), out)
+
+
+def _entropies(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to in slices(batch["text"], SLICE):
+                score, chars = scores(model.value, batch["text"].slice(at, to - at))
+                some = chars > 0
+                best, chars = score[some].argmax(1), chars[some]
+                columns = [best, _length_class(chars), -score[some].max(1) / chars]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["lang", "class", "entropy"])
+        release()
+
+    return run
+
+
+def calibrate(model: Model, sample: DataFrame) -> None:
+    """Set the bounds from the texts of a sample. Entropies are computed and their quantiles taken on
+    the executors; one number for each language and length class comes back."""
+    if not model.langs:
+        return
+    held = sample.sparkSession.sparkContext.broadcast(model)
+    found = sample.select("text").mapInArrow(_entropies(held), "lang long, class long, entropy double")
+    seen = found.groupBy("lang", "class").agg(F.percentile("entropy", F.lit(QUANTILE)).alias("q")).collect()
+    model.limits = limits({(r["lang"], r["class"]): r["q"] for r in seen}, len(model.every))
 
 
 def predict(model: Model, texts: pa.Array) -> dict[str, np.ndarray]:
@@ -282,7 +320,7 @@ def predict(model: Model, texts: pa.Array) -> dict[str, np.ndarray]:
     top = per[np.arange(len(per)), best]
     weight = np.minimum(chars, SHARPEST)[:, None]
     sure = 1.0 / np.exp(np.maximum((per - top[:, None]) * weight, -700)).sum(1)
-    over = -top > model.limits[_length_class(chars)] + MARGIN
+    over = -top > model.limits[best, _length_class(chars)]
     return {
         "lang_pred": np.where(some, np.array(model.every, object)[best], NONE),
         "score": np.where(some, sure, 0.0),
@@ -292,10 +330,12 @@ def predict(model: Model, texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _draw(labelled: DataFrame, rates: dict[str, float], salt: str) -> DataFrame:
-    """A sample by hash at the rate of each language; others give no text."""
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A sample by hash at the rate of each language; others give no text, and repeated rows one."""
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     table = pa.table({"lang": pa.array(list(rates), pa.string()), "rate": pa.array(list(rates.values()), pa.float64())})
-    return labelled.join(F.broadcast(labelled.sparkSession.createDataFrame(table)), "lang").filter(draw < F.col("rate")).select("lang", "text")
+    # One row a language.
+    drawn = labelled.join(F.broadcast(labelled.sparkSession.createDataFrame(table)), "lang").filter(draw < F.col("rate"))
+    return drawn.groupBy("lang", F.xxhash64("doc_id", "text").alias("unit")).agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,9 +347,15 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from table.rename_columns(["lang", "word", "n"]).to_batches()
 
 
-def _counted(sample: DataFrame) -> dict[str, tuple[list[str], np.ndarray]]:
-    """{language: (distinct words, their counts)} of sampled texts."""
+def _counted(sample: DataFrame, most: int) -> dict[str, tuple[list[str], np.ndarray]]:
+    """{language: (distinct words, their counts)} of sampled texts, about `most` words a language."""
     counts = sample.mapInArrow(_words, "lang string, word string, n long").filter("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "language-words")
+    many = {r["lang"]: most / r["count"] for r in counts.groupBy("lang").count().filter(F.col("count") > most).collect()}
+    if many:
+        rate = F.element_at(F.create_map(*[F.lit(x) for pair in many.items() for x in pair]), F.col("lang"))
+        draw = F.pmod(F.xxhash64("word"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        counts = counts.filter(rate.isNull() | (draw < rate))
     table = counts.orderBy("lang", "word").toArrow()
     by = {}
     at = 0
@@ -323,38 +369,48 @@ def _counted(sample: DataFrame) -> dict[str, tuple[list[str], np.ndarray]]:
 def fit(docs: DataFrame, chosen: Column | None = None, *, order: int = ORDER, train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> Model:
     """Train on the rows of `docs` (doc_id, text, lang) with text and lang for which `chosen` holds.
 
-    About `train_docs` whole texts for each language are drawn by a hash of doc_id, and about
-    `calibration_docs` others set the rejection bounds (none of a language with fewer than ENOUGH texts beside
-    them, which is trained on all); beyond FULL_LANGS languages, each gets
-    fewer, so what the driver receives (distinct words with counts, and the calibration texts)
-    is bounded at any corpus size. Every language with a text with letters is learned. Without
-    labelled rows the model has none and every text is `und`.
+    About `train_docs` whole texts for each language are drawn by a hash of doc_id and text, and
+    about `calibration_docs` others set the rejection bounds (none of a language with fewer than
+    ENOUGH texts beside them, which is trained on all). Rows equal in doc_id, text and lang count
+    once. Beyond FULL_LANGS languages each gets fewer texts and words, so what the driver receives
+    (distinct words with counts, and a bound for each language and length class) is bounded at any
+    corpus size. Every language with a text with letters is learned. Without labelled rows the model
+    has none and every text is `und`.
     """
     if order > 4:
         raise ValueError("n-grams of at most four characters are packed")
     ensure_workers(docs.sparkSession)
     some = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.lit(True) if chosen is None else chosen))
-    some = some.select("doc_id", "text", "lang")
+    some = some.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     # Texts that calibrate are not trained on.
-    half = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 0
-    counted = some.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~half, 1)).alias("others")).collect()
-    sizes = {r["lang"]: r["n"] for r in counted}
-    parted = {r["lang"]: r["n"] for r in counted if r["others"] >= ENOUGH}
-    part = min(1.0, FULL_LANGS / max(len(sizes), 1))
-    per, per_check = (max(n * part, min(n, LEAST)) for n in (train_docs, calibration_docs))
-    sample = _draw(some.filter(~half), {x: per * 5 / 4 / n for x, n in parted.items()}, "train")
-    few = {x: per / n for x, n in sizes.items() if x not in parted}
-    by = _counted(sample.unionByName(_draw(some, few, "train")) if few else sample)
-    missing = {x: 1.0 for x in sizes if x not in by}
+    half = F.pmod(F.xxhash64("doc_id", "text", F.lit("part")), F.lit(5)) == 0
+    unit = F.xxhash64("doc_id", "text")
+    sized = some.groupBy("lang").agg(
+        F.approx_count_distinct(unit).alias("n"),
+        F.approx_count_distinct(F.when(~half, unit)).alias("others"),
+        F.avg(F.octet_length("text")).alias("bytes"),
+    )
+    counted = {r["lang"]: r for r in sized.collect()}
+    part = min(1.0, FULL_LANGS / max(len(counted), 1))
+    room = {x: SAMPLE_BYTES * part / max(r["bytes"], 1.0) for x, r in counted.items()}
+
+    def rates(langs: list[str], wanted: int, scale: float) -> dict[str, float]:
+        return {x: scale * min(max(wanted * part, min(wanted, LEAST)), max(room[x], 1.0)) / counted[x]["n"] for x in langs}
+
+    parted = [x for x, r in counted.items() if r["others"] >= ENOUGH]
+    few = [x for x in counted if x not in set(parted)]
+    sample = _draw(some.filter(~half), rates(parted, train_docs, 5 / 4), "train")
+    most = max(1000, int(MOST_WORDS * part))
+    by = _counted(sample.unionByName(_draw(some, rates(few, train_docs, 1.0), "train")) if few else sample, most)
+    missing = {x: 1.0 for x in counted if x not in by}
     if missing:
-        # The hash may pass over all texts of a language, as over repeats of one doc_id.
+        # The hash may pass over all texts of a language.
         texts = _draw(some.filter(F.col("text").rlike(r"\p{L}")), missing, "all")
-        by |= _counted(texts.groupBy("lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+        by |= _counted(texts.groupBy("lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")), most)
     model = train(by, order)
-    known = bool(by)
     del by
     release()
-    calibrate(model, _draw(some.filter(half), {x: per_check * 5 / n for x, n in parted.items()}, "calibrate").select("text").toArrow()["text"].to_pylist() if known else [])
+    calibrate(model, _draw(some.filter(half), rates(parted, calibration_docs, 5.0), "calibrate"))
     return model
 
 
@@ -376,8 +432,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     A null text or one without letters is `und` with score 0, and rejected. Ties go to the
     language that sorts first. `score` is the posterior of lang_pred under equal priors,
-    with the evidence of a long text limited. A text beyond the calibrated bound keeps its
-    lang_pred and is marked rejected. An empty table gives no row.
+    with the evidence of a long text limited. A text beyond the bound of its language and length
+    keeps its lang_pred and is marked rejected. An empty table gives no row.
     """
     spark: SparkSession = docs.sparkSession
     ensure_workers(spark)

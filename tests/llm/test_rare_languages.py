@@ -9,7 +9,7 @@ RARE = "жщъы эюя жщъыж"
 @pytest.fixture
 def kept(spark):
     """A doc_id that the hash sets aside for calibration."""
-    return spark.range(1000, 2000).filter(F.pmod(F.xxhash64("id", F.lit("part")), F.lit(5)) == 0).first().id
+    return spark.range(1000, 2000).filter(F.pmod(F.xxhash64("id", F.lit(RARE), F.lit("part")), F.lit(5)) == 0).first().id
 
 
 @pytest.mark.parametrize("repeats", [1, 50, 20000])
