@@ -1,0 +1,74 @@
+import json
+
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
+from tokenizers import AddedToken, Tokenizer, models, normalizers, pre_tokenizers
+
+from quarry.llm import tokens
+
+WORDS = ["the", "The cat,", "end.", "a.,b", ".,", ",", "don't", "x's", "1,2", "é", "é", "ÉAUSS", "ß", "İ", "Σας", "中文", "<|endoftext|>", "<|endoftext|>x", " ", "　", "\t", "\r\n", "\x1c", "😀,", "THE.", "thE,,", "'re", "ﬁ", "", "\x00", "́x"]
+TEXTS = st.lists(st.one_of(st.sampled_from(WORDS), st.text(max_size=6)), max_size=12).flatmap(lambda w: st.sampled_from([" ", "\n", "  ", ""]).map(lambda gap: gap.join(w)))
+
+
+def commas(path):
+    """A lower-casing byte-level BPE whose merges join letters and commas, cut at white space only."""
+    letters = tokens._byte_letters()
+    vocab = {letters[b]: b for b in range(256)} | {"t,": 256, "at,": 257, "th": 258}
+    tok = Tokenizer(models.BPE(vocab, [("t", ","), ("a", "t,"), ("t", "h")]))
+    tok.normalizer = normalizers.Lowercase()
+    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    tok.save(path)
+
+
+@pytest.fixture(scope="module", params=["word_bpe_49k.json", "byte_bpe_50k.json", "commas", "special"])
+def both(request, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("tok") / "t.json")
+    if request.param == "commas":
+        commas(path)
+    elif request.param == "special":
+        tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        tok.add_special_tokens([AddedToken("the", normalized=False)])
+        tok.save(path)
+    else:
+        path = public_tokenizers.path(request.param)
+    return request.param, tokens.TextEncoder(path, 2), Tokenizer.from_file(path)
+
+
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.one_of(st.none(), TEXTS), max_size=4))
+@example(texts=["the cat, the, end.", "THE cat, The. the.,", None, ""])
+def test_ids_are_the_library_s(both, texts):
+    _, mine, library = both
+    ids, lens = mine.encode(pa.array(texts, pa.string()))
+    want = [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == [i for w in want for i in w]
+    assert lens.tolist() == [len(w) for w in want]
+
+
+def test_which_tokenizers_are_cut_at_spaces(both):
+    name, mine, _ = both
+    assert (mine.by_word, mine.by_model) == {"word_bpe_49k.json": (True, True), "special": (True, False)}.get(name, (False, False))
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda d: d["normalizer"]["normalizers"].pop(),
+        lambda d: d["normalizer"]["normalizers"].append({"type": "Strip", "strip_left": True, "strip_right": True}),
+        lambda d: d["pre_tokenizer"]["pretokenizers"][0].update(invert=False),
+        lambda d: d["pre_tokenizer"]["pretokenizers"][0].update(pattern={"Regex": "[^,]+"}),
+        lambda d: d["added_tokens"][0].update(lstrip=True),
+        lambda d: d["added_tokens"][0].update(content="two words"),
+        lambda d: d.update(truncation={"max_length": 9}),
+        lambda d: d["model"].update(dropout=0.1),
+    ],
+)
+def test_any_other_definition_encodes_whole_texts(change):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        definition = json.load(f)
+    assert tokens.splits_at_spaces(definition)
+    change(definition)
+    assert not tokens.splits_at_spaces(definition)
