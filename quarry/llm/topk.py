@@ -13,9 +13,11 @@ pruning). What remains is verified by exact products.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ FOCUS = 4
 SLACK = 1e-9
 #: Products are exact in doubles below this.
 EXACT = float(1 << 53)
-BLOCK_SCHEMA = "dims int, length double, need double, n int, width int, ids binary, rows binary, bounds binary, vecs binary"
+BLOCK_SCHEMA = "nth long, dims int, length double, need double, n int, width int, ids binary, rows binary, bounds binary, vecs binary"
 HITS = "query_id long, query_row long, vec_id long, score long"
 
 
@@ -39,18 +41,19 @@ def _pack(size: int):
     """Blocks of at most `size` rows with one number of dimensions, from rows sorted by it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dims, held, count = None, [], 0
+        dims, held, n = None, [], 0
+        names = _counter()
         for batch in batches:
             for start, stop, d in _runs(batch["dims"].to_numpy()):
-                if held and (d != dims or count >= size):
-                    yield from _blocks(dims, held, size)
-                    held, count = [], 0
+                if held and (d != dims or n >= size):
+                    yield from _blocks(names, dims, held, size)
+                    held, n = [], 0
                 part = batch.slice(start, stop - start)
                 vecs = part["vec"].flatten().to_numpy(zero_copy_only=False).reshape(stop - start, d)
                 held.append((part["vec_id"].to_numpy(), part["row"].to_numpy(), part["bound"].to_numpy(), vecs))
-                dims, count = d, count + stop - start
+                dims, n = d, n + stop - start
         if held:
-            yield from _blocks(dims, held, size)
+            yield from _blocks(names, dims, held, size)
 
     return run
 
@@ -62,8 +65,13 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield a, b, int(values[a])
 
 
-def _blocks(dims: int, held: list, size: int) -> Iterator[pa.RecordBatch]:
-    """`length` is the greatest of the block; `need` the length that a vector needs to reach the bound of any row."""
+def _counter() -> Iterator[int]:
+    """Numbers that no other task gives."""
+    return count(TaskContext.get().partitionId() << 33)
+
+
+def _blocks(names: Iterator[int], dims: int, held: list, size: int) -> Iterator[pa.RecordBatch]:
+    """`nth` names the block; `length` is the greatest of the block; `need` the length that a vector needs to reach the bound of any row."""
     all_ids, all_rows, all_bounds, all_vecs = (np.concatenate(x) for x in zip(*held))
     for at in range(0, len(all_ids), size):
         ids, rows, bounds, vecs = (x[at : at + size] for x in (all_ids, all_rows, all_bounds, all_vecs))
@@ -71,10 +79,10 @@ def _blocks(dims: int, held: list, size: int) -> Iterator[pa.RecordBatch]:
         need = np.where(bounds > 0, bounds / np.maximum(lengths, 1e-300), 0.0).min()
         low, high = (int(f(vecs)) for f in (np.min, np.max)) if vecs.size else (0, 0)
         width = next(w for w in (2, 4, 8) if low >= -(1 << 8 * w - 1) and high < 1 << 8 * w - 1)
-        values = [dims, float(lengths.max()), float(need), len(ids), width, ids.astype("<i8").tobytes(), rows.astype("<i8").tobytes(), bounds.astype("<f8").tobytes(), vecs.astype(f"<i{width}").tobytes()]
-        kinds = [pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        names = ["dims", "length", "need", "n", "width", "ids", "rows", "bounds", "vecs"]
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
+        values = [next(names), dims, float(lengths.max()), float(need), len(ids), width, ids.astype("<i8").tobytes(), rows.astype("<i8").tobytes(), bounds.astype("<f8").tobytes(), vecs.astype(f"<i{width}").tobytes()]
+        kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        columns = ["nth", "dims", "length", "need", "n", "width", "ids", "rows", "bounds", "vecs"]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=columns)
 
 
 def norms(vecs: np.ndarray) -> np.ndarray:
@@ -136,8 +144,8 @@ def _search(k: int):
             for i in range(batch.num_rows):
                 queries, bucket = batch["q"][i].as_py(), batch["b"][i].as_py()
                 q_ids, q_rows, bounds, q_vecs = unpack(queries)
-                ids, _, _, vecs = unpack(bucket)
-                found = search(ids, vecs, q_ids, q_vecs, bounds, k, bucket["length"])
+                ids, rows, _, vecs = unpack(bucket)
+                found = search(ids, rows, vecs, q_rows, q_vecs, bounds, k, bucket["length"])
                 if found:
                     at, hit, score = (np.concatenate(x) for x in zip(*found))
                     columns = [q_ids[at], q_rows[at], ids[hit], score]
@@ -146,14 +154,14 @@ def _search(k: int):
     return run
 
 
-def search(ids, vecs, q_ids, q_vecs, bounds, k, longest) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def search(ids, rows, vecs, q_rows, q_vecs, bounds, k, longest) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query position, row position, score) of the best k rows for each query whose bound the bucket may reach."""
     lengths = norms(vecs)
     unit = vecs / np.maximum(lengths, 1e-300)[:, None]
     out = []
-    for i in range(len(q_ids)):
+    for i in range(len(q_rows)):
         some = survivors(q_vecs[i], unit, lengths, bounds[i], longest)
-        some = some[ids[some] != q_ids[i]]
+        some = some[rows[some] != q_rows[i]]
         if not len(some):
             continue
         scores = products(q_vecs[i : i + 1], vecs[some])[0]
@@ -178,9 +186,13 @@ def _packed(rows: DataFrame, size: int, what: str) -> DataFrame:
 
 
 def _pairs(queries: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
-    """Hits of all pairs of a query block and a bucket that its queries may reach: a nested
-    loop over blocks, which Spark runs as a broadcast of the query blocks if they are small
-    and otherwise partition against partition."""
+    """Hits of all pairs of a query block and a bucket that its queries may reach.
+
+    The stated queries meet all rows in blocks: a loop over pairs of blocks that no key can
+    narrow, pruned by the lengths that the queries of a block need. Equality of `dims` is written as two
+    bounds, since as an equality it would deal all blocks of one dimension to one task; as it is,
+    Spark broadcasts the query blocks if they are small and otherwise goes partition against partition.
+    """
     q, b = queries.select(F.struct("*").alias("q")), buckets.select(F.struct("*").alias("b"))
     met = (F.col("q.dims") <= F.col("b.dims")) & (F.col("q.dims") >= F.col("b.dims"))
     met &= F.col("q.need") <= F.col("b.length") * (1 + SLACK)
@@ -189,12 +201,12 @@ def _pairs(queries: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row of `vectors` (vec_id, vec) where `queries`
-    holds, the k highest inner products with the rows of another vec_id, ties to smaller vec_ids.
+    holds, the k highest inner products with the other rows, ties to smaller vec_ids.
 
     Vectors are compared with those of as many dimensions. Products beyond a long stay at its
-    limit. Rows that repeat a vec_id are candidates each and queries each. A query gets all
-    others if they are fewer than k; an empty table gives no row. Nothing is approximate:
-    pruning drops only vectors that cannot reach a query's k-th best product so far.
+    limit. Rows that repeat a vec_id are candidates each and queries each, also for one another. A
+    query gets all others if they are fewer than k; an empty table gives no row. Nothing is
+    approximate: pruning drops only vectors that cannot reach a query's k-th best product so far.
     """
     spark = vectors.sparkSession
     ensure_workers(spark)
@@ -208,13 +220,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     blocks = max(1, -(-asking.count() // QUERIES))
     asking = materialise(asking.repartition(blocks).sortWithinPartitions("dims", "row"), "queries")
 
-    # The bucket of the longest vectors gives every query a bound, if it has k rows.
-    first = buckets.groupBy("dims").agg(F.max("length").alias("top")).select(F.col("dims").alias("dims_"), "top")
-    first = buckets.join(first, (F.col("dims") == F.col("dims_")) & (F.col("length") == F.col("top"))).select(buckets.columns)
+    # One bucket of long vectors gives every query a bound, if it has k other rows.
+    first = buckets.groupBy("dims").agg(F.max(F.struct((F.col("n") > k).alias("enough"), "length", "n", "nth")).alias("best"))
+    first = buckets.join(first.select(F.col("best.nth").alias("nth")), "nth", "left_semi")
     seen = _ranked(_pairs(_packed(asking, QUERIES, "query-blocks"), first, k), k).filter(F.col("rank") == k)
     bounds = materialise(seen.select(F.col("query_row").alias("row_"), F.col("score").alias("least")), "bounds")
     bounded = asking.drop("bound").join(bounds, F.col("row") == F.col("row_"), "left").withColumn("bound", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))))
-    bounded = bounded.repartition(blocks).sortWithinPartitions("dims", "row")
+    # Queries that need like lengths share a block, so that its least need rules buckets out.
+    need = F.when(F.col("bound") > 0, F.col("bound") / F.greatest("length", F.lit(1e-300))).otherwise(F.lit(0.0))
+    bounded = bounded.withColumn("need", need).repartitionByRange(blocks, "dims", "need", "row").sortWithinPartitions("dims", "need", "row")
     return _ranked(_pairs(_packed(bounded, QUERIES, "query-blocks"), buckets, k), k).select("query_id", "rank", "vec_id", "score")
 
 

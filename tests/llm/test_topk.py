@@ -16,9 +16,9 @@ def expected(rows, asks, k):
             continue
         whole.append((i, [math.floor(1024 * float(np.float32(x))) for x in v]))
     out = []
-    for i, q in whole:
+    for at, (i, q) in enumerate(whole):
         if asks(i):
-            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i and len(v) == len(q))
+            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for other, (j, v) in enumerate(whole) if other != at and len(v) == len(q))
             out += [(i, n + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, j) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -68,3 +68,39 @@ def test_pruning_loses_nothing(seed):
             assert set(np.flatnonzero(scores >= least)) <= some
             pruned += len(vecs) - len(some)
     assert pruned > 0
+
+
+def test_a_twin_row_is_a_candidate(spark):
+    rows = [(100, [1.0, 0.0]), (100, [2.0, 0.0]), (1, [0.5, 0.0])]
+    got = run(spark, rows, every=100)
+    assert got == expected(rows, lambda i: i % 100 == 0, 4)
+    assert [r[2] for r in got].count(100) == 2
+
+
+def test_blocks_that_cannot_reach_are_not_met(spark, monkeypatch):
+    """Lengths vary, so most pairs of a query block and a bucket are ruled out by length."""
+    monkeypatch.setattr(topk, "BUCKET", 64)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    met, real = [], topk._pairs
+
+    def watched(queries, buckets, k):
+        every = queries.count() * buckets.count()
+        some = queries.alias("q").join(buckets.alias("b"), F.col("q.need") <= F.col("b.length") * (1 + topk.SLACK)).count()
+        met.append((some, every))
+        return real(queries, buckets, k)
+
+    monkeypatch.setattr(topk, "_pairs", watched)
+    rows = made(5, 2000)
+    assert run(spark, rows) == expected(rows, lambda i: i % 5 == 0, 4)
+    (one, blocks), (some, every) = met
+    assert one == blocks  # one bucket in the first pass
+    assert some < 0.6 * every
+
+
+def test_one_first_bucket_where_lengths_tie(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BUCKET", 8)
+    sizes, real = [], topk._pairs
+    monkeypatch.setattr(topk, "_pairs", lambda q, b, k: sizes.append(b.count()) or real(q, b, k))
+    rows = [(i, [float(i % 3 == j) for j in range(3)]) for i in range(100)]
+    assert run(spark, rows) == expected(rows, lambda i: i % 5 == 0, 4)
+    assert sizes[0] == 1 and sizes[1] > 10
