@@ -121,7 +121,7 @@ def run(args, spark=None) -> int:
         tables = list(engine.catalog.tables.values())
         print(f"data dir: {engine.catalog.path}" if tables else f"no tables in {engine.catalog.path}")
         for t in tables:
-            print(f"{t.name:<16} files={len(t.files)} rows={t.rows} row_groups={len(t.groups)} compressed={size_text(t.bytes)}")
+            print(f"{t.name:<16} files={len(t.files)} rows={t.rows} row_groups={t.group_count} compressed={size_text(t.bytes)}")
     elif args.verb == "describe":
         table = engine.catalog[args.table]
         table.check()

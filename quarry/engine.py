@@ -17,10 +17,9 @@ from .operators.query import build
 from .plans.binder import Bound, Output, SortKey, bind, bind_predicate, parse_aggregates, type_name
 from .plans.explain import Step, explain
 from .plans.parser import parse, parse_predicate
-from .sources.catalog import Catalog, Table
-from .sources.footer import RowGroup
+from .sources.catalog import Catalog, Kept, Table
 from .sources.scan import rowgroup_scan, skipping_scan
-from .sources.zonemap import fold, keep
+from .sources.zonemap import fold
 
 ENGINES = {"": "vectorized", "vectorized": "vectorized", "vec": "vectorized", "row": "row", "row-at-a-time": "row", "naive": "row"}
 JSON_ROWS = 1000
@@ -145,18 +144,20 @@ class Engine:
 
     # From a bound query to a DataFrame.
 
-    def kept(self, q: Bound, table: Table, skip: bool = True) -> list[RowGroup]:
-        return keep(fold(q.where), table.groups) if skip else table.groups
+    def kept(self, q: Bound, table: Table, skip: bool = True) -> Kept:
+        """What zone maps leave of the table, and the compressed bytes of the query's columns there."""
+        return table.kept(fold(q.where) if skip else None, q.columns)
 
-    def frame(self, q: Bound, options: Options = Options()) -> DataFrame:
-        """The result as a DataFrame; nothing runs. With skipping off, no footer is read."""
+    def frame(self, q: Bound, options: Options = Options(), session: SparkSession | None = None) -> DataFrame:
+        """The result as a DataFrame of `session`, or of the engine's; nothing runs. With skipping off, no footer is read."""
         table = self.catalog[q.table]
+        session = session or self.spark
         if options.scan == "rowgroup":
-            df = rowgroup_scan(table, self.kept(q, table, options.skip), q.columns if options.prune else q.schema.fieldNames())
+            df = rowgroup_scan(table, self.kept(q, table, options.skip), q.columns if options.prune else q.schema.fieldNames(), session)
         elif options.skip and q.where is not None and table.inspectable:
-            df = skipping_scan(table, self.kept(q, table))
+            df = skipping_scan(table, self.kept(q, table), session)
         else:
-            df = table.read()
+            df = table.read(session=session)
         if options.jobs > 0:
             df = df.coalesce(options.jobs)
         return build(df, q)
@@ -167,20 +168,27 @@ class Engine:
         return build(self.catalog[q.table].read(), q)
 
     def explain(self, q: Bound, options: Options = Options()) -> Step:
-        table = self.catalog[q.table]
-        kept = self.kept(q, table, options.skip)
-        return explain(q, files=len(table.files), groups=len(table.groups), kept=len(kept), jobs=options.jobs, prune=options.prune)
+        return self._explained(q, self.kept(q, self.catalog[q.table], options.skip), options)
+
+    def _explained(self, q: Bound, kept: Kept, options: Options) -> Step:
+        return explain(q, files=len(self.catalog[q.table].files), groups=kept.total, kept=kept.count, jobs=options.jobs, prune=options.prune)
 
     # Execution.
 
     def run(self, query: str | Bound, options: Options = Options()) -> Result:
+        """Run a statement within `options.timeout`, footers and planning included."""
+        with deadline(self.spark, options.timeout):
+            return self._run(query, options)
+
+    def _run(self, query: str | Bound, options: Options) -> Result:
         if options.engine.lower() not in ENGINES:
             raise QueryError(f"unknown engine {quoted(options.engine)} (want vectorized or row)")
         engine = ENGINES[options.engine.lower()]
         q = self.bind(query) if isinstance(query, str) else query
         table = self.catalog[q.table]
         table.check()
-        plan = self.explain(q, options)
+        kept = self.kept(q, table, options.skip)
+        plan = self._explained(q, kept, options)
         confs = {}
         if engine == "row":
             confs |= {"spark.sql.parquet.enableVectorizedReader": "false", "spark.sql.codegen.wholeStage": "false"}
@@ -190,23 +198,19 @@ class Engine:
             confs["spark.sql.optimizer.excludedRules"] = "org.apache.spark.sql.catalyst.optimizer.ColumnPruning"
         if options.batch_size:
             confs["spark.sql.parquet.columnarReaderBatchSize"] = str(options.batch_size)
-        with configured(self.spark, confs):
-            df = self.frame(q, options)
-            shown = df if options.cap is None else df.limit(options.cap + 1)
-            started = time.perf_counter()
-            with deadline(self.spark, options.timeout):
-                rows = shown.collect()
-            elapsed = (time.perf_counter() - started) * 1000
-            read = scanned_rows(shown)
+        df = self.frame(q, options, configured(self.spark, confs))
+        shown = df if options.cap is None else df.limit(options.cap + 1)
+        started = time.perf_counter()
+        rows = shown.collect()
+        elapsed = (time.perf_counter() - started) * 1000
+        read = scanned_rows(shown)
         truncated = options.cap is not None and len(rows) > options.cap
         if truncated:
             rows = rows[: options.cap]
         scan = plan.find("ParquetScan").facts
-        wanted = set(scan["columns"])
-        kept = self.kept(q, table, options.skip) if scan["kept_row_groups"] else []
-        size = sum(st.bytes for g in kept for name, st in g.columns.items() if name in wanted)
+        size = kept.bytes if options.prune else kept.all_bytes
         # Scans through the Python source, or without metrics, count the rows of the kept groups.
-        scan |= {"bytes_read": size, "rows_in": read if read is not None else sum(g.rows for g in kept)}
+        scan |= {"bytes_read": size, "rows_in": read if read is not None else kept.rows}
         profile = {
             "elapsed_ms": round(elapsed, 3),
             "engine": engine,
@@ -214,7 +218,7 @@ class Engine:
             "rows_read": scan["rows_in"],
             "rows_emitted": len(rows),
             "bytes_read": size,
-            "row_groups_total": len(table.groups),
+            "row_groups_total": kept.total,
             "row_groups_read": scan["kept_row_groups"],
             "row_groups_skipped": scan["skipped_row_groups"],
             "columns_read": len(scan["columns"]),
@@ -222,22 +226,21 @@ class Engine:
         return Result(df.columns, [type_name(f.dataType) for f in df.schema.fields], rows, truncated, profile, plan, df)
 
 
-@contextmanager
-def configured(spark: SparkSession, confs: dict[str, str]):
-    """Settings for one query; what was set before comes back."""
-    before = {k: spark.conf.get(k, None) for k in confs}
-    for k, v in confs.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def configured(spark: SparkSession, confs: dict[str, str]) -> SparkSession:
+    """A session with these settings beside those of `spark`, which itself does not change:
+    other threads run on it."""
+    if not confs:
+        return spark
+    own = spark.newSession()
+    for k, v in {**spark.conf.getAll, **confs}.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    return own
 
 
 @contextmanager
 def deadline(spark: SparkSession, seconds: float | None):
-    """Cancel this thread's Spark jobs after so many seconds."""
+    """Cancel this thread's Spark jobs after so many seconds; work that ends later fails too."""
     if not seconds:
         yield
         return
@@ -264,6 +267,8 @@ def deadline(spark: SparkSession, seconds: float | None):
         over.set()
         watch.join()
         context.removeJobTag(tag)
+    if late.is_set():
+        raise TimedOut("query timeout")
 
 
 def scanned_rows(df: DataFrame) -> int | None:

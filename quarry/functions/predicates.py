@@ -1,4 +1,9 @@
-"""Bound predicates as Spark columns with typed literals, so that they stay pushable."""
+"""Bound predicates as Spark columns with typed literals, so that they stay pushable.
+
+NaN is the greatest fraction and not in the minima and maxima of row groups, by which a pushed
+condition would drop it. Conditions on fractions therefore say outright what NaN gives, and only
+the parts that NaN cannot satisfy, also when negated, are left for the scan.
+"""
 
 from __future__ import annotations
 
@@ -43,7 +48,10 @@ def _against(name: str, op: str, value: object, types: dict[str, T.DataType]) ->
     if isinstance(value, float) and isinstance(kind, T.IntegralType) and op in ("<", "<=", ">", ">=") and math.isfinite(value):
         # A fraction against whole numbers: round it to the nearest bound that means the same.
         value, op = (math.floor(value), "<=") if op[0] == "<" else (math.ceil(value), ">=")
-    return _COMPARE[op](col, literal(value, kind))
+    found = _COMPARE[op](col, literal(value, kind))
+    if value is None or not isinstance(kind, (T.FloatType, T.DoubleType)):
+        return found
+    return F.isnan(col) | found if op in (">", ">=", "<>") else ~F.isnan(col) & found
 
 
 def predicate(x: s.Node, types: dict[str, T.DataType]) -> Column:
@@ -68,9 +76,14 @@ def predicate(x: s.Node, types: dict[str, T.DataType]) -> Column:
         else:
             col = column(x.x.name).cast("timestamp_ntz") if isinstance(types[x.x.name], T.DateType) else column(x.x.name)
             found = col.isin(*[literal(v.value, types[x.x.name]) for v in x.items])
+            if isinstance(types[x.x.name], (T.FloatType, T.DoubleType)) and not any(v.value is None for v in x.items):
+                found = ~F.isnan(col) & found
         return ~found if x.negated else found
     if isinstance(x, s.Between):
         found = _against(x.x.name, ">=", x.low.value, types) & _against(x.x.name, "<=", x.high.value, types)
+        if not x.negated and isinstance(types[x.x.name], (T.FloatType, T.DoubleType)):
+            # The upper bound leaves NaN out, so the lower one can be pushed.
+            found = found & (column(x.x.name) >= literal(x.low.value, types[x.x.name]))
         return ~found if x.negated else found
     if isinstance(x, s.Column):
         return column(x.name)

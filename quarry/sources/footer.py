@@ -1,13 +1,13 @@
 """Parquet footers: schema, row groups and column statistics, without reading pages.
 
-The driver reads the footers of small tables in a thread pool; beyond
-`DRIVER_FILES` files Spark reads them, and only the columns asked for come back.
+The driver reads the footers of small tables in a thread pool. Beyond `DRIVER_FILES`
+files the executors read them and reduce each to what is asked, one small value a file.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
@@ -105,21 +105,28 @@ def read_footer(uri: str, columns: set[str] | None = None) -> Footer:
     return Footer(uri, meta.num_rows, schema, tuple(groups))
 
 
-def read_footers(uris: list[str], spark=None, columns: set[str] | None = None) -> list[Footer]:
-    """Footers in the order of `uris`."""
+def map_footers(uris: list[str], work: Callable[[Footer], object], spark=None, columns: set[str] | None = None) -> list:
+    """`work` of the footer of each file, in the order of `uris`. Its results should be small: they
+    all come to the driver, which knows as many files as it is."""
     if spark is None or len(uris) <= DRIVER_FILES:
         with ThreadPoolExecutor(min(16, max(1, len(uris)))) as pool:
-            return list(pool.map(lambda u: read_footer(u, columns), uris))
+            return list(pool.map(lambda u: work(read_footer(u, columns)), uris))
     import pickle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pickle.dumps(read_footer(u, columns)) for u in batch["uri"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["at"], pa.array(found, pa.binary())], names=["at", "footer"])
+            found = [pickle.dumps(work(read_footer(u, columns))) for u in batch["uri"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["at"], pa.array(found, pa.binary())], names=["at", "found"])
+
+    table = pa.table({"at": pa.array(range(len(uris)), pa.int64()), "uri": pa.array(uris, pa.string())})
+    rows = spark.createDataFrame(table).repartition(min(1000, len(uris) // 16 + 1))
+    found = rows.mapInArrow(run, "at long, found binary").collect()
+    return [pickle.loads(bytes(r.found)) for r in sorted(found, key=lambda r: r.at)]
 
-    rows = spark.createDataFrame(list(enumerate(uris)), "at long, uri string").repartition(min(1000, len(uris) // 16 + 1))
-    found = rows.mapInArrow(run, "at long, footer binary").collect()
-    return [pickle.loads(bytes(r.footer)) for r in sorted(found, key=lambda r: r.at)]
+
+def read_footers(uris: list[str], spark=None, columns: set[str] | None = None) -> list[Footer]:
+    """Whole footers in the order of `uris`: for listings, and for tables of few files."""
+    return map_footers(uris, lambda f: f, spark, columns)
 
 
 def size_text(n: int) -> str:

@@ -14,30 +14,28 @@ from functools import reduce
 from itertools import groupby
 
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.predicates import column, literal
-from .catalog import Table
-from .footer import RowGroup, open_file
+from .catalog import Kept, Table
+from .footer import DRIVER_FILES, RowGroup, open_file, read_footers
 
 #: Runs of neighbouring row groups that a companion condition lists at most.
 MOST_RUNS = 64
 
 
-def companion(table: Table, kept: list[RowGroup]) -> Column | None:
-    """A condition that holds for all rows of the kept groups, or None if no column gives a sound one.
+def companion(table: Table, groups: list[RowGroup], names: set[tuple[str, int]]) -> Column | None:
+    """A condition that holds for all rows of the named groups, or None if no column gives a sound one.
 
-    Sound means: the column has bounds and no NULL in every kept group; it is worth
-    adding if it excludes some group that was not kept.
+    `groups` are all row groups of the files to read. Sound means: the column has bounds and no
+    NULL in every named group; it is worth adding if it excludes some group that was not named.
     """
-    names = {(g.file, g.index) for g in kept}
-    files = {g.file for g in kept}
-    groups = [g for g in table.groups if g.file in files]
+    kept = [g for g in groups if (g.file, g.index) in names]
     rest = [g for g in groups if (g.file, g.index) not in names]
     best, most = None, 0
-    for f in table.schema.fields:
+    for f in table.schema.fields if rest else ():
         if not isinstance(f.dataType, (T.IntegralType, T.StringType)):
             continue
         stats = [g.columns.get(f.name) for g in kept]
@@ -56,13 +54,23 @@ def companion(table: Table, kept: list[RowGroup]) -> Column | None:
     return best
 
 
-def skipping_scan(table: Table, kept: list[RowGroup]) -> DataFrame:
-    if len(kept) == len(table.groups):
-        return table.read()
-    files = list(dict.fromkeys(g.file for g in kept))
-    df = table.read(files)
-    extra = companion(table, kept) if kept else None
-    return df if extra is None else df.filter(extra)
+def skipping_scan(table: Table, kept: Kept, session: SparkSession) -> DataFrame:
+    """The kept files; in those that are kept in part, up to DRIVER_FILES of them, a companion condition too."""
+    if kept.count == kept.total:
+        return table.read(session=session)
+    names = [f.file for f in kept.files]
+    part = [f.file for f in kept.files if len(f.indices) < f.total]
+    if not part or len(part) > DRIVER_FILES:
+        return table.read(names, session)
+    few = names if len(names) <= DRIVER_FILES else part
+    footers = table.footers if len(table.files) <= DRIVER_FILES else read_footers(few)
+    groups = [g for f in footers for g in f.groups if f.file in set(few)]
+    extra = companion(table, groups, {(f.file, i) for f in kept.files for i in f.indices})
+    if extra is None:
+        return table.read(names, session)
+    df = table.read(few, session).filter(extra)
+    whole = [f for f in names if f not in set(few)]
+    return df.unionAll(table.read(whole, session)) if whole else df
 
 
 class _Group(InputPartition):
@@ -99,9 +107,9 @@ class RowGroupSource(DataSource):
         return _Reader(schema, self.options)
 
 
-def rowgroup_scan(table: Table, kept: list[RowGroup], columns: list[str]) -> DataFrame:
+def rowgroup_scan(table: Table, kept: Kept, columns: list[str], session: SparkSession) -> DataFrame:
     """Exactly the kept row groups, one task each, and of them only `columns` (at least one)."""
-    table.spark.dataSource.register(RowGroupSource)
+    session.dataSource.register(RowGroupSource)
     fields = [f for f in table.schema.fields if f.name in columns] or table.schema.fields[:1]
-    lines = "\n".join(f"{g.file}|{g.index}" for g in kept)
-    return table.spark.read.format(RowGroupSource.name()).schema(T.StructType(fields)).option("groups", lines).load()
+    lines = "\n".join(f"{f.file}|{i}" for f in kept.files for i in f.indices)
+    return session.read.format(RowGroupSource.name()).schema(T.StructType(fields)).option("groups", lines).load()

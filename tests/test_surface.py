@@ -1,4 +1,6 @@
 import json
+import re
+import socket
 import threading
 import urllib.error
 import urllib.request
@@ -7,7 +9,8 @@ import pytest
 
 from quarry import cli
 from quarry.benchmark import cases, percentile, report, summary
-from quarry.engine import Engine
+from quarry.engine import Engine, Options
+from quarry.errors import TimedOut
 from quarry.server import Settings, row_cap, serve
 
 
@@ -76,6 +79,7 @@ def http(spark, sf_dir, tmp_path_factory):
         except urllib.error.HTTPError as e:
             return e.code, json.loads(e.read()), e.headers
 
+    ask.port = server.server_port
     yield ask
     server.shutdown()
     server.server_close()
@@ -137,3 +141,92 @@ def test_bench_protocol(spark, sf_dir):
     assert [r["variant"] for r in out["results"]] == ["row-naive", "row-opt", "vectorized"]
     assert out["results"][0]["columns_read"] == 6 and out["results"][2]["columns_read"] == 2
     assert out["speedups"][0]["id"] == "Q2"
+
+
+@pytest.fixture
+def raw(http):
+    """Send bytes on one connection and return all that comes back until the server ends it or is silent."""
+
+    def send(*parts, wait=3.0):
+        with socket.create_connection(("127.0.0.1", http.port), timeout=wait) as s:
+            got = b""
+            try:
+                for p in parts:
+                    s.sendall(p)
+                while piece := s.recv(65536):
+                    got += piece
+            except TimeoutError:
+                pass
+            return got.decode()
+
+    return send
+
+
+def post(path, body, *more):
+    return f"POST {path} HTTP/1.1\r\nHost: x\r\nContent-Length: {len(body)}\r\n".encode() + b"".join(m + b"\r\n" for m in more) + b"\r\n" + body
+
+
+LAST = b"GET /health HTTP/1.1\r\nHost: x\r\nConnection: close\r\n\r\n"
+
+
+def statuses(answer):
+    return re.findall(r"(?m)^HTTP/1.1 (\d+)", answer)
+
+
+def test_a_body_is_never_the_next_request(raw):
+    inner = b"GET /tables HTTP/1.1\r\nHost: x\r\n\r\n"
+    assert statuses(raw(post("/nowhere", inner), LAST)) == ["404", "200"]
+    assert statuses(raw(post("/health", inner), LAST)) == ["405", "200"]
+    assert statuses(raw(post("/query", inner), LAST)) == ["400", "200"]
+    assert statuses(raw(post("/query", b" " * ((1 << 20) + 1)), LAST)) == ["400", "200"]
+    assert statuses(raw(b"DELETE /tables HTTP/1.1\r\nHost: x\r\nContent-Length: 3\r\n\r\nabc", LAST)) == ["405", "200"]
+    head = raw(b"HEAD /health HTTP/1.1\r\nHost: x\r\n\r\n", LAST)
+    assert statuses(head) == ["200", "200"] and head.count('"ok"') == 1
+
+
+def test_chunked_bodies(raw):
+    head = b"POST /query HTTP/1.1\r\nHost: x\r\nTransfer-Encoding: chunked\r\n\r\n"
+    body = b'{"sql": "SELECT r_name FROM region"}'
+    good = head + b"%x;x=y\r\n%s\r\n1\r\n \r\n0\r\nTrailer: t\r\n\r\n" % (len(body), body)
+    assert statuses(raw(good, LAST, wait=60)) == ["200", "200"]
+    for bad in (b"zz\r\n", b"-1\r\n", b"2\r\nabc\r\n"):
+        assert statuses(raw(head + bad, LAST)) == ["400"]
+
+
+@pytest.mark.parametrize("length", [b"-5", b"x", b"1e3", b"3, 4", b"+2", "\u00b2".encode()])
+def test_bad_lengths_end_the_connection(raw, length):
+    answer = raw(b"POST /query HTTP/1.1\r\nHost: x\r\nContent-Length: " + length + b"\r\n\r\n", LAST)
+    assert statuses(answer) == ["400"] and "Connection: close" in answer
+    both = raw(post("/query", b"{}", b"Content-Length: 7"), LAST)
+    assert statuses(both) == ["400"]
+
+
+def test_large_bodies_are_answered(http):
+    for size in [(1 << 20) + 1] * 30 + [8 << 20] * 8 + [(1 << 20) + 1000]:
+        status, answer, _ = http("/query", b" " * size, method="POST")
+        assert status == 400 and "too large" in answer["error"]
+
+
+def test_stop_waits_for_open_requests(spark, sf_dir):
+    server = serve(Engine(spark, sf_dir), "127.0.0.1", 0, Settings())
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with server.busy():
+        assert not server.stop(0.1)
+    assert server.stop(0.1)
+    assert Settings().timeout == 60
+
+
+def test_a_request_has_its_time(spark, sf_dir, monkeypatch):
+    """The limit covers what comes before the query too, as reading footers."""
+    import time
+
+    engine = Engine(spark, sf_dir)
+    monkeypatch.setattr(type(engine.catalog["region"]), "check", lambda self: time.sleep(1.0))
+    with pytest.raises(TimedOut):
+        engine.run("SELECT r_name FROM region", Options(timeout=0.3))
+    server = serve(engine, "127.0.0.1", 0, Settings(timeout=0.3))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with pytest.raises(urllib.error.HTTPError) as e:
+        urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/query", b'{"sql": "SELECT r_name FROM region"}')
+    assert e.value.code == 504
+    assert server.stop()

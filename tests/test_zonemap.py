@@ -39,6 +39,15 @@ def test_rules(text, skipped):
     assert can_skip(pred(text), GROUP) == skipped
 
 
+@pytest.mark.parametrize(
+    "text,skipped",
+    [("v > 5", False), ("v >= 5", False), ("v <> 1", False), ("NOT v <= 5", False), ("v NOT BETWEEN 0 AND 9", False), ("v < 1", True), ("v <= 0", True), ("v = 7", True), ("v IN (7, 8)", True), ("v BETWEEN 5 AND 9", True)],
+)
+def test_fractions_may_hold_nan(text, skipped):
+    group = RowGroup("f", 0, 3, 1, {"v": ColumnStats(3, 0, 1.0, 1.0)})
+    assert can_skip(bind_predicate(parse_predicate(text), {"v": T.DoubleType()}), group) == skipped
+
+
 def test_single_value_group():
     group = RowGroup("f", 0, 3, 1, {"x": ColumnStats(3, 0, 5, 5)})
     assert can_skip(pred("x <> 5"), group) and not can_skip(pred("x <> 4"), group)
