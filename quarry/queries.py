@@ -102,6 +102,9 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         "SELECT COUNT(*), COUNT(*), SUM(user_id), SUM(event_id) AS sum_user_id FROM events",
         "SELECT COUNT(*) AS count, COUNT(*) AS count_2, SUM(user_id)::BIGINT AS sum_user_id, SUM(event_id)::BIGINT AS sum_user_id_2 FROM events",
     ),
+    "f_lit_lit": ("SELECT COUNT(*) FROM events WHERE 2 > 1 AND 'a' <> 'b' AND NOT 1.5 >= 2", "SELECT COUNT(*) AS count FROM events WHERE 2 > 1 AND 'a' <> 'b' AND NOT 1.5 >= 2"),
+    "f_lit_lit_false": ("SELECT event_id FROM events WHERE 2 < 1 OR TIMESTAMP '2024-01-02' < TIMESTAMP '2024-01-01'", "SELECT event_id FROM events WHERE 2 < 1"),
+    "limit_beyond": ("SELECT event_id FROM events WHERE event_type = 'click' LIMIT 1000000", "SELECT event_id FROM events WHERE event_type = 'click'"),
     "quoted_names": ('SELECT "event_type" AS "Type -- ""x""", "user_id" FROM "events" WHERE "event_type" <> \'it\'\'s\' ORDER BY event_id LIMIT 9;', 'SELECT event_type AS "Type -- ""x""", user_id FROM events ORDER BY event_id LIMIT 9'),
 }
 
@@ -135,14 +138,48 @@ WITH_NULLS: dict[str, tuple[str, str]] = {
 }
 
 
-def catalog_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether events.ts rises along event_id; the catalog answers the same from footers."""
-    from .sources.catalog import Catalog
+def _more_types(df: DataFrame) -> DataFrame:
+    """The driver's tables have no booleans and no float32."""
+    even = F.when(F.col("user_id") % 5 != 0, F.col("user_id") % 2 == 0)
+    return df.withColumn("even", even).withColumn("small", F.col("value").cast("float"))
+
+
+_TYPES = "(SELECT *, CASE WHEN user_id % 5 <> 0 THEN user_id % 2 = 0 END AS even, value::FLOAT AS small FROM events)"
+#: Over events with a boolean column that has NULLs and a float32 column.
+WITH_TYPES: dict[str, tuple[str, str]] = {
+    "f_bool_column": ("SELECT event_id FROM {t} WHERE even", "SELECT event_id FROM {t} WHERE even"),
+    "f_not_bool_column": ("SELECT event_id FROM {t} WHERE NOT even OR event_id < 5", "SELECT event_id FROM {t} WHERE NOT even OR event_id < 5"),
+    "f_bool_compare": ("SELECT COUNT(*) FROM {t} WHERE even <> FALSE", "SELECT COUNT(*) AS count FROM {t} WHERE even <> FALSE"),
+    **{
+        f"f_float32_{name}": (f"SELECT event_id FROM {{t}} WHERE small {op} 50.25", f"SELECT event_id FROM {{t}} WHERE small::DOUBLE {op} 50.25::DOUBLE")
+        for name, op in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">="))
+    },
+    "f_float32_between": ("SELECT event_id, small FROM {t} WHERE small BETWEEN 10 AND 20.5", "SELECT event_id, small FROM {t} WHERE small::DOUBLE BETWEEN 10::DOUBLE AND 20.5::DOUBLE"),
+    "agg_min_max_bool": ("SELECT MIN(even), MAX(even), COUNT(even) FROM {t}", "SELECT MIN(even) AS min_even, MAX(even) AS max_even, COUNT(even) AS count_even FROM {t}"),
+    "agg_group_bool": ("SELECT even, COUNT(*), MAX(small) FROM {t} GROUP BY even", "SELECT even, COUNT(*) AS count, MAX(small) AS max_small FROM {t} GROUP BY even"),
+}
+
+
+def _laid(spark: SparkSession, sf_dir: str, by: str):
+    """An engine over events written anew in eight files by ranges of a column, each of several row groups."""
+    from .engine import Engine
+    from .session import scratch
+
+    folder = scratch(spark, "layout")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    laid = events.repartitionByRange(8, by, "event_id").sortWithinPartitions(by, "event_id")
+    laid.write.option("parquet.block.size", 16384).option("parquet.page.size", 4096).parquet(f"{folder}/events.parquet")
+    return Engine(spark, folder)
 
-    table = Catalog(spark, sf_dir)["events"]
-    clustered, _ = table.clustering("ts")
-    schema = T.StructType([T.StructField("rows", T.LongType()), T.StructField("clustered", T.BooleanType())])
-    return spark.createDataFrame([(table.rows, clustered)], schema)
+
+def catalog_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the catalog says of events.ts, from the footers of a table laid out by ts and of one laid out by user."""
+    rows = []
+    for by in ("ts", "user_id"):
+        table = _laid(spark, sf_dir, by).catalog["events"]
+        rows.append((by, table.rows, table.group_count > 8, table.clustering("ts")[0]))
+    schema = T.StructType([T.StructField("laid_by", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("many_groups", T.BooleanType()), T.StructField("clustered", T.BooleanType())])
+    return spark.createDataFrame(rows, schema)
 
 
 def catalog_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,34 +189,39 @@ def catalog_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(low, high)], "min_ts_ms long, max_ts_ms long")
 
 
-def skipping_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q2 through the zone-map scan."""
-    from .engine import Engine
+def _window(spark: SparkSession, sf_dir: str, scan: str) -> DataFrame:
+    """q2 over a table laid out by ts, with whether files and row groups were left out by their footers."""
+    from .engine import Options
 
-    engine = Engine(spark, sf_dir)
-    return engine.frame(engine.bind(STATEMENTS["q2_time_window"][0]))
+    engine = _laid(spark, sf_dir, "ts")
+    q = engine.bind(STATEMENTS["q2_time_window"][0])
+    kept = engine.kept(q, engine.catalog["events"])
+    out = engine.frame(q, Options(scan=scan))
+    return out.withColumn("files_skipped", F.lit(0 < len(kept.files) < 8)).withColumn("groups_skipped", F.lit(0 < kept.count < kept.total))
 
 
-def rowgroup_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q2 through the row-group source."""
-    from .engine import Engine, Options
+def skipping_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _window(spark, sf_dir, "auto")
 
-    engine = Engine(spark, sf_dir)
-    return engine.frame(engine.bind(STATEMENTS["q2_time_window"][0]), Options(scan="rowgroup"))
+
+def rowgroup_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _window(spark, sf_dir, "rowgroup")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: statement(sql) for name, (sql, _) in STATEMENTS.items()}
     out |= {name: statement(sql.format(t="events"), _some_nulls) for name, (sql, _) in WITH_NULLS.items()}
+    out |= {name: statement(sql.format(t="events"), _more_types) for name, (sql, _) in WITH_TYPES.items()}
     return out | {"cat_clustering": catalog_clustering, "cat_ts_range": catalog_time_range, "scan_zone_map": skipping_scan_query, "scan_row_groups": rowgroup_scan_query}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: check or sql for name, (sql, check) in STATEMENTS.items()}
     out |= {name: check.format(t=_NULLS) for name, (_, check) in WITH_NULLS.items()}
-    window = STATEMENTS["q2_time_window"][1]
+    out |= {name: check.format(t=_TYPES) for name, (_, check) in WITH_TYPES.items()}
+    window = f"SELECT *, TRUE AS files_skipped, TRUE AS groups_skipped FROM ({STATEMENTS['q2_time_window'][1]})"
     return out | {
-        "cat_clustering": "SELECT COUNT(*) AS rows, bool_and(ts >= before) AS clustered FROM (SELECT ts, lag(ts, 1, ts) OVER (ORDER BY event_id) AS before FROM events)",
+        "cat_clustering": "SELECT 'ts' AS laid_by, COUNT(*) AS rows, TRUE AS many_groups, TRUE AS clustered FROM events UNION ALL SELECT 'user_id', COUNT(*), TRUE, FALSE FROM events",
         "cat_ts_range": "SELECT epoch_us(MIN(ts)) // 1000 AS min_ts_ms, epoch_us(MAX(ts)) // 1000 AS max_ts_ms FROM events",
         "scan_zone_map": window,
         "scan_row_groups": window,
