@@ -49,10 +49,17 @@ def unescape(text: str) -> str:
     return _ESCAPE.sub(lambda m: "\n" if m[1] == "n" else m[1], text)
 
 
+def amount(x: float | None) -> float:
+    """A size as a finite number that is not below zero; above 10^15 it stays there."""
+    return 0 if x is None or not math.isfinite(x) or x < 0 else min(x, 10**15)
+
+
 @dataclass
 class Visitor:
     """Flattens the parts of one turn. Token counts: an image has one token per started
-    `patch` squared, audio `per_second`, a document `per_page`; parts of unknown types raise."""
+    `patch` squared, audio `per_second`, a document `per_page`, and one at least. Sizes that are
+    null, NaN, infinite or below zero count as zero. A part of an unknown or null type is
+    kept as an attachment of kind `unknown` with one token."""
 
     patch: int = 28
     per_second: float = 25.0
@@ -67,11 +74,12 @@ class Visitor:
         self.size += len(piece)
 
     def visit(self, part: dict, learned: bool) -> None:
-        handler = getattr(self, f"visit_{part['type']}", None)
-        if handler is None:
-            raise ValueError(f"a part has the unknown type {part['type']!r}")
+        handler = getattr(self, f"visit_{part['type']}", self.visit_unknown)
         handler(part, learned)
 
+    def visit_unknown(self, part: dict, learned: bool) -> None:
+        self._attach("unknown", part.get("ref"), 1)
+
     def visit_text(self, part: dict, learned: bool) -> None:
         start = self.size
         self.add(escape(part["text"] or ""))
@@ -79,14 +87,14 @@ class Visitor:
             self.loss.append({"start": start, "stop": self.size})
 
     def visit_image(self, part: dict, learned: bool) -> None:
-        tokens = math.ceil((part["width"] or 0) / self.patch) * math.ceil((part["height"] or 0) / self.patch)
+        tokens = math.ceil(amount(part["width"]) / self.patch) * math.ceil(amount(part["height"]) / self.patch)
         self._attach("image", part["ref"], max(1, tokens))
 
     def visit_audio(self, part: dict, learned: bool) -> None:
-        self._attach("audio", part["ref"], max(1, math.ceil((part["seconds"] or 0) * self.per_second)))
+        self._attach("audio", part["ref"], max(1, math.ceil(amount(part["seconds"]) * self.per_second)))
 
     def visit_document(self, part: dict, learned: bool) -> None:
-        self._attach("document", part["ref"], max(1, part["pages"] or 0) * self.per_page)
+        self._attach("document", part["ref"], max(1, amount(part["pages"])) * self.per_page)
 
     def _attach(self, kind: str, ref: str | None, tokens: int) -> None:
         self.attachments.append({"kind": kind, "ref": ref, "at": self.size, "tokens": tokens})

@@ -12,6 +12,7 @@ import uuid
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,14 @@ def made() -> list[str]:
     return list(_made)
 
 
+def clean_steps(spark: SparkSession, first: int) -> None:
+    """Delete the folders made from number `first` on, but for the last: the steps towards a table that is now written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while len(_made) > first + 1:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop(first))
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write a frame to shared storage and read it again: the lineage ends there,
     and what a lost executor held is read back, not computed anew."""
@@ -87,6 +96,31 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def from_files(df: DataFrame) -> DataFrame:
+    """The frame, if each of its rows has a place in a file; else it is written and read."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return materialise(df, "rows")
+    return df
+
+
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """Add the row's place in its files as a number: the file's rank in the upper bits, the row's
+    index in the file in the lower 36. It is the same in every scan, however splits are packed and
+    whichever executors are alive, so a table can be joined back by it without being stored again.
+
+    One name a file goes to the driver and back as a broadcast, less than Spark's own listing of them.
+    """
+    df = from_files(df)
+    files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+    file, rank, index = (spare_name(df.columns, x) for x in ("file_", "rank_", "index_"))
+    ranks = df.sparkSession.createDataFrame(list(enumerate(files)), f"{rank} long, {file} string")
+    rows = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(index))
+    number = F.shiftleft(rank, 36).bitwiseOR(F.col(index))
+    return rows.join(F.broadcast(ranks), file).select(*[rows[c] for c in df.columns], number.alias(name))
+
+
 def release() -> None:
     """Give memory that Python, Arrow and the allocator hold but don't use back to the system."""
     gc.collect()

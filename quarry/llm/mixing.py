@@ -120,8 +120,9 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float =
 
     Sizes are words of the whole text; a null text has none, an empty one none,
     and such rows keep the copies of a rate of cap / 2. Null sources are one
-    source, last in order. Repeated rows are mixed as rows of their own; rows
-    that tie in doc_id and size are alike, so a rerun gives the same result.
+    source, last in order. Repeated rows are mixed as rows of their own. Ties are broken by
+    doc_id, then by a hash of the text, so only rows alike in both are interchangeable and
+    neither a rerun nor another layout of the files changes the texts that are taken.
     `row` names a number column of `docs`; without it one is added.
     An empty table gives no row. Other columns play no part.
     """
@@ -132,6 +133,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float =
         docs["doc_id"].alias("doc_id"),
         docs["source"].cast("string").alias("source"),
         word_count(text_of("text")).alias("size"),
+        F.xxhash64(docs["text"]).alias("mark"),
     )
     narrow = materialise(narrow, "mix-docs")
     sizes = materialise(narrow.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
@@ -154,7 +156,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float =
     classes = materialise(classes, "mix-classes")
 
     dealt = narrow.alias("d").join(classes.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size")))
-    dealt = dealt.select("row", "doc_id", "d.source", "d.size", "source_size", "target", "base", "extra", "n", "parts", F.xxhash64("doc_id").alias("draw"))
+    dealt = dealt.select("row", "doc_id", "d.source", "d.size", "source_size", "target", "base", "extra", "n", "parts", "mark", F.xxhash64("doc_id").alias("draw"))
     # The smaller of the two sides (one copy more, or not) is dealt over the parts of a class.
     few = F.least(F.col("extra"), F.col("n") - F.col("extra"))
     dealt = materialise(dealt.withColumn("part", F.pmod("draw", "parts")).withColumn("few", few), "mix-dealt")
@@ -165,7 +167,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float =
     same = F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.size") == F.col("q.size")) & (F.col("d.part") == F.col("q.part"))
     large = large.alias("d").join(counts.alias("q"), same).select("d.*", "quota")
     dealt = dealt.filter("parts = 1").withColumn("quota", F.col("few")).unionByName(large)
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("draw", "doc_id", "row"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("draw", "doc_id", "mark", "row"))
     picked = rank <= F.col("quota")
     more = F.when(F.col("extra") * 2 <= F.col("n"), picked).otherwise(~picked)
     return dealt.select("row", "doc_id", "size", "source_size", "target", (F.col("base") + more.cast("long")).alias("copies"))

@@ -50,34 +50,58 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _number(column: str, kind: str) -> tuple[Column, bool]:
+    """A dimension as a double, and whether its scale is logarithmic; dates and times are linear."""
+    x = F.col(column)
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        return x.cast("double"), True
+    if kind == "boolean":
+        return x.cast("int").cast("double"), False
+    if kind == "date":
+        return F.unix_date(x).cast("double"), False
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(x.cast("timestamp")).cast("double"), False
+    raise ValueError(f"{column} has the type {kind}, which has no place on the curve")
+
+
 def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
-    """A cell number for each dimension; null is cell 0.
+    """A cell number for each dimension; null is cell 0, NaN the last, infinities the first and last.
 
-    One aggregation finds the bounds. Numbers are scaled by their logarithm above
-    the minimum, strings by the six bytes after the prefix that all values share.
+    One aggregation finds the bounds among finite values. Numbers are scaled by their logarithm
+    above the minimum, booleans, dates and times (of either kind) linearly, strings by the six bytes
+    after the prefix that all values share. Other types raise ValueError.
     """
     kinds = dict(df.dtypes)
-    marks = df.agg(*[f(F.col(d)).alias(f"{n}{i}") for i, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    numbers = {d: _number(d, kinds[d]) for d in dims if kinds[d] != "string"}
+    finite = {d: F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x) for d, (x, _) in numbers.items()}
+    marks = df.agg(*[f(finite.get(d, F.col(d))).alias(f"{n}{i}") for i, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     top = (1 << bits) - 1
     out = []
     for i, d in enumerate(dims):
         lo, hi = marks[f"lo{i}"], marks[f"hi{i}"]
-        if lo is None or lo == hi:
-            out.append(F.lit(0))
-            continue
-        if kinds[d] == "string":
+        if d not in numbers:
+            if lo is None or lo == hi:
+                out.append(F.lit(0))
+                continue
             a, b = lo.encode(), hi.encode()
             skip = next((k for k, (u, v) in enumerate(zip(a, b)) if u != v), min(len(a), len(b)))
             code = lambda v: int.from_bytes(v[skip : skip + 6].ljust(6, b"\0"), "big")  # noqa: E731, B023
             tail = F.substring(F.col(d).cast("binary"), skip + 1, 6)
-            x = F.conv(F.rpad(F.hex(tail), 12, "0"), 16, 10).cast("double")
-            least, span = float(code(a)), float(code(b) - code(a))
+            share = (F.conv(F.rpad(F.hex(tail), 12, "0"), 16, 10).cast("double") - F.lit(float(code(a)))) / F.lit(float(code(b) - code(a)) or 1.0)
         else:
-            least = 0.0
-            x = F.log1p(F.col(d).cast("double") - F.lit(float(lo)))
-            span = float(np.log1p(float(hi) - float(lo)))
-        share = (x - F.lit(least)) / F.lit(span or 1.0)
-        share = F.when(share.isNull() | F.isnan(share), 0.0).otherwise(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
+            x, steep = numbers[d]
+            lo, hi = (lo, hi) if lo is not None else (0.0, 0.0)
+            wide = hi - lo
+            above = F.least(F.greatest(x, F.lit(lo)), F.lit(hi)) - F.lit(lo)
+            if not wide:
+                share = F.lit(0.0)
+            elif not np.isfinite(wide):
+                share = above / 2 / F.lit(hi / 2 - lo / 2)
+            else:
+                share = F.log1p(above) / F.lit(float(np.log1p(wide))) if steep else above / F.lit(wide)
+            share = F.when(F.isnan(x) | (x > F.lit(hi)), 1.0).when(x < F.lit(lo), 0.0).otherwise(share)
+            share = F.when(x.isNull(), 0.0).otherwise(share)
+        share = F.coalesce(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
         out.append(F.floor(share * top + F.lit(0.5)).cast("int"))
     return out
 

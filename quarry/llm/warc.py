@@ -20,11 +20,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_workers, materialise, shared_dir
+from .common import ensure_workers, from_files, materialise, shared_dir
 from .files import committed, open_fs
 
 CHUNK = 1 << 16
@@ -45,10 +44,7 @@ CHUNK_SCHEMA = (
 def _identified(pages: DataFrame) -> tuple[DataFrame, Column]:
     """The rows, and an identifier for each that is the same in every scan: a UUID made of the
     file and the place in it. Rows that come from no file are written to one first."""
-    try:
-        pages.select("_metadata.file_path", "_metadata.row_index")
-    except AnalysisException:
-        pages = materialise(pages, "pages")
+    pages = from_files(pages)
     spot = F.sha1(F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")))
     part = lambda at, n: F.substring(spot, at, n)
     return pages, F.concat(F.lit("urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12)))

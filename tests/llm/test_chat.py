@@ -63,8 +63,8 @@ def test_typed_parts(spark):
         assert row.segment[a["at"] :].startswith(f"<|{a.kind} {i}|>")
     assert chat.parse(row.segment)[1] == [("text", "see <|image 0|>: "), ("image", 0), ("text", ""), ("audio", 1), ("text", "end"), ("document", 2), ("text", "")]
     assert made[1].segment == "<|turn|>user\n<|end|>\n" and made[1].loss == []
-    with pytest.raises(ValueError):
-        chat.format_turn("user", [{"type": "video"}])
+    # A part of an unknown type once stopped the whole job.
+    assert [a["kind"] for a in chat.format_turn("user", [{"type": "video"}]).attachments] == ["unknown"]
 
 
 def test_query(spark, sf_dir):
@@ -74,3 +74,28 @@ def test_query(spark, sf_dir):
     hard = "\\### Assistant: </turn> ok"
     rows += [(-7, 0, "user", hard), (-7, 1, "assistant", hard)]
     assert digests(op4_chat_format(spark, sf_dir).collect()) == expected(rows)
+
+
+NAN, INF = float("nan"), float("inf")
+
+
+@pytest.mark.parametrize(
+    "part,kind,tokens",
+    [
+        ({"type": "audio", "seconds": NAN}, "audio", 1),
+        ({"type": "audio", "seconds": INF}, "audio", 1),
+        ({"type": "audio", "seconds": -3.0}, "audio", 1),
+        ({"type": "audio", "seconds": 1e300}, "audio", 25 * 10**15),
+        ({"type": "image", "width": -5, "height": 100}, "image", 1),
+        ({"type": "document", "pages": -2}, "document", 512),
+        ({"type": None}, "unknown", 1),
+        ({"type": "video"}, "unknown", 1),
+        ({"type": ""}, "unknown", 1),
+    ],
+)
+def test_odd_parts(spark, part, kind, tokens):
+    whole = {k: None for k in ("type", "text", "ref", "width", "height", "seconds", "pages")} | part | {"ref": "r"}
+    turns = spark.createDataFrame([(1, 0, "user", [whole])], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    row = chat.format_turns(turns, parts=turns["parts"]).first()
+    assert [(a.kind, a.ref, a.tokens) for a in row.attachments] == [(kind, "r", tokens)] and row.expanded_tokens == tokens
+    assert chat.parse(row.segment) == ("user", [("text", ""), (kind, 0), ("text", "")])

@@ -31,3 +31,30 @@ def test_shared_storage_is_asked_for_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         common.shared_dir(Session(), "x")
+
+
+def test_places_do_not_depend_on_splits(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5000).selectExpr("id", "repeat('x', 50) AS pad", "1 AS file_", "2 AS RANK_").repartition(3).write.option("parquet.block.size", 4096).option("parquet.page.size", 1024).parquet(path)
+    seen = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1g", "9000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        df = spark.read.parquet(path)
+        rows = common.placed(df.filter("id % 7 <> 0"), "row_")
+        assert rows.columns == [*df.columns, "row_"]
+        seen.append({(r.id, r.row_) for r in rows.collect()})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0] == seen[1] and len({row for _, row in seen[0]}) == len(seen[0]) == 5000 - 715
+    assert sorted({row >> 36 for _, row in seen[0]}) == [0, 1, 2]
+    made = common.placed(spark.range(4).selectExpr("id * 2 AS v"), "n").collect()
+    assert len({r.n for r in made}) == 4
+    assert common.placed(spark.read.schema("id long").parquet(path).limit(0), "n").count() == 0
+
+
+def test_steps_go_and_the_last_stays(spark):
+    first = len(common.made())
+    paths = [common.materialise(spark.range(i), "s") and common.made()[-1].removeprefix("file://") for i in range(1, 4)]
+    common.clean_steps(spark, first)
+    assert [os.path.isdir(p) for p in paths] == [False, False, True]
+    common.clean_steps(spark, len(common.made()))

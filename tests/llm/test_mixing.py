@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing
+from quarry.llm.common import numbered
 
 
 def water_fill(sizes, weights=(3, 1, 2), share=1.5, cap=2):
@@ -86,3 +88,55 @@ def test_small(docs, rows):
     got = mixing.mix(docs(rows)).collect()
     assert len(got) == len(rows)
     assert all(0 <= r.copies <= 2 for r in got)
+
+
+def slow_tilt(sizes, target, cap=2.0):
+    """Rates of least relative entropy to the uniform rate cap / 2 in (0, cap) that meet the target: the dual by bisection."""
+    mean = sum(sizes) / len(sizes)
+    rates = lambda lam: [cap / (1 + math.exp(-max(-700.0, min(700.0, lam * z / mean)))) for z in sizes]
+    low, high = -700.0, 700.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(r * z for r, z in zip(rates(middle), sizes)) < target else (low, middle)
+    return rates((low + high) / 2)
+
+
+def test_query_takes_the_tilted_optimum(spark):
+    """The registered query: sizes and targets exactly, and copies as the rounded running sum of a slow solver's rates."""
+    from quarry.llm.queries import op7_mixing
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op7_mixing(spark, sf).collect()}
+    assert set(got) == set(docs)
+    by = defaultdict(list)
+    for i, r in docs.items():
+        by[r.source].append((words(r.text), i))
+    order = sorted(by, key=lambda s: (s is None, s))
+    goals = water_fill([sum(z for z, _ in by[s]) for s in order])
+    inner = 0
+    for source, goal in zip(order, goals):
+        rows = by[source]
+        total = sum(z for z, _ in rows)
+        for z, i in rows:
+            assert (got[i].size, got[i].source_size) == (z, total) and got[i].target == pytest.approx(goal)
+            assert got[i].taken in (0, z, 2 * z)
+        if goal >= 2 * total:
+            assert all(got[i].taken == 2 * z for z, i in rows)
+            continue
+        inner += 1
+        sizes = sorted(z for z, _ in rows)
+        rates = dict(zip(sizes, slow_tilt(sizes, goal)))
+        running = copies = 0.0
+        for z in sorted(set(sizes) - {0}):
+            running += rates[z] * sizes.count(z)
+            copies += sum(got[i].taken for y, i in rows if y == z) / z
+            assert abs(copies - running) <= 1.0 + 1e-4 + sizes.count(0)
+    assert inner >= 1
+
+
+def test_texts_of_one_doc_id_do_not_depend_on_the_layout(docs):
+    rows = [(7, f"w{i} " * 3, "en", ["a", "b"][i % 2]) for i in range(300)]
+    pick = lambda df: sorted((r.text, r.copies) for r in mixing.mix(numbered(df, "row_"), row="row_").join(numbered(df, "row_").select(F.col("row_").alias("row"), "text"), "row").collect())
+    a, b = docs(rows).coalesce(1), docs(rows[::-1]).coalesce(1)
+    assert pick(a) == pick(b)

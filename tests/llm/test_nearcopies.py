@@ -86,8 +86,31 @@ def test_fingerprints_are_majorities_of_min_wise_samples():
             assert int(got[t, p]) == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) > 2)
 
 
-def test_links_that_no_head_has(spark, docs, tmp_path):
+@pytest.mark.parametrize("matrix", [1, 1 << 22])
+@pytest.mark.parametrize("seed", range(4))
+def test_links_of_a_block(seed, matrix, monkeypatch):
+    monkeypatch.setattr(nearcopies, "MATRIX", matrix)
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 60)}" for _ in range(60)]
+    texts = [edited(rng, base, rng.choice([0, 1, 2, 3])) for _ in range(30)] + ["a b", "A b", "", None]
+    root = np.array([rng.choice([0, 0, 0, i]) for i in range(len(texts))])
+    a, b = nearcopies.links(*nearcopies.shingles(pa.array(texts)), root)
+    sets = [slow_shingles(t) for t in texts]
+
+    def parts(pairs):
+        at = list(range(len(texts)))
+        for i, j in pairs:
+            at = [at[j] if x == at[i] else x for x in at]
+        return [at.index(x) for x in at]
+
+    assert parts(zip(a, b)) == parts((i, j) for i in range(len(texts)) for j in range(i) if root[i] != root[j] and alike(sets[i], sets[j]))
+    assert len(a) < len(texts)  # stars, not pairs
+
+
+@pytest.mark.parametrize("rows", [1024, 7])
+def test_links_that_no_head_has(spark, docs, tmp_path, rows, monkeypatch):
     """A dense group: edits of edits, so that many links are between texts far from any head."""
+    monkeypatch.setattr(nearcopies, "BLOCK_ROWS", rows)
     rng = random.Random(11)
     base = [f"w{rng.randint(0, 300)}" for _ in range(120)]
     rows = []
