@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_workers, release, shared_dir, spare_name
+from .common import ensure_workers, release, shared_dir
 from .files import committed, open_fs
 from .tokens import encoder, slices
 
@@ -106,20 +106,20 @@ def _chain(first, rest):
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int | None = 2) -> list[tuple[int, int, int]]:
-    """Write all documents in ascending doc_id order (null first, ties by text); return
+    """Write all documents in ascending doc_id order (null first, ties by a hash of the text); return
     (part, records, ids) for each file, in order. One entry a file goes to the driver.
 
-    The texts are dealt out by ranges of (doc_id, hash of the text) and each task
-    encodes and writes its range. Null text counts as empty; repeated rows are
-    records of their own; an empty table writes no file; other columns play no part.
+    The texts are dealt out by ranges of (doc_id, hash of the text, row) and each task
+    encodes and writes its range; the row number splits one row that repeats often. Null text
+    counts as empty; repeated rows are records of their own; an empty table writes no file;
+    other columns play no part.
     """
     ensure_workers(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    tie = spare_name(rows.columns, "tie")
-    # The hash splits a doc_id that many rows share; the order within it is by hash, then text.
-    keyed = rows.withColumn(tie, F.xxhash64("text"))
+    # The hash splits a doc_id that many rows share, the row number equal rows, whose order means nothing.
+    keyed = rows.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartitionByRange(parts, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+    dealt = keyed.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
     done = dealt.select("doc_id", "text").mapInArrow(_write(folder, tokenizer, end_id), "part long, records long, tokens long")
     return sorted((r.part, r.records, r.tokens) for r in done.collect())
 
