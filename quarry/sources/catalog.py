@@ -149,11 +149,18 @@ class Table:
         """From one footer; `check()` compares the others."""
         return self.spark.read.parquet(self.files[0][0]).schema
 
+    @cached_property
+    def _whole(self) -> DataFrame:
+        """All rows; the files are listed once, as their footers are read once."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
     def read(self, files: list[str] | None = None, session: SparkSession | None = None) -> DataFrame:
         """All rows, or those of the given files."""
         spark = session or self.spark
         if files is not None and not files:
             return spark.createDataFrame([], self.schema)
+        if files is None and spark is self.spark:
+            return self._whole
         return spark.read.schema(self.schema).parquet(*(files if files is not None else [self.path]))
 
     @cached_property
