@@ -201,15 +201,16 @@ class _Bytes:
                 return True
 
     def line(self, most: int = MOST_LINE) -> bytes | None:
-        """The next line with its end, of at most `most` bytes; None at the end of the file."""
+        """The next line with its end, or as many bytes as a block has left (`most`); None at the end of the file."""
         while (at := self.buffer.find(b"\n", 0, most)) < 0 and len(self.buffer) < most:
             if not self._more():
                 if self.buffer:
                     raise ValueError("the archive ends inside a line")
                 return None
-        if at < 0:
+        if at < 0 and most >= MOST_LINE:
             raise ValueError("a line has no end")
-        out, self.buffer = self.buffer[: at + 1], self.buffer[at + 1 :]
+        end = at + 1 if at >= 0 else most
+        out, self.buffer = self.buffer[:end], self.buffer[end:]
         return out
 
     def some(self, most: int) -> bytes:

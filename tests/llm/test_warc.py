@@ -125,6 +125,7 @@ def foreign(gap=b"\r\n\r\n", zipped=True):
         (b"metadata", [], b""),
         (b"revisit", [b"Content-Type: application/http", b"WARC-Payload-Digest: sha1:" + sha, b"WARC-Refers-To: <urn:uuid:2>"], http),
         (b"revisit", [], b""),
+        (b"response", [b"Content-Type: application/http"], b"HTTP/1.0 200"),
     ]
     out = b""
     for i, (kind, lines, block) in enumerate(records):
@@ -138,7 +139,7 @@ def test_archives_of_other_writers(spark, tmp_path, zipped):
     rows = list(warc.read_chunks(io.BytesIO(foreign(zipped=zipped)), 3))
     whole = {r[0]: r for r in rows if r[2]}
     data = {i: b"".join(r[-1] for r in rows if r[0] == i) for i in whole}
-    assert data == {f"urn:uuid:{i}": d for i, d in ((2, b"body"), (3, b""), (4, b""), (5, b"4\r\nbody\r\n0\r\n\r\n"), (6, b"a.b\r\n"), (8, b""), (9, b""))}
+    assert data == {f"urn:uuid:{i}": d for i, d in ((2, b"body"), (3, b""), (4, b""), (5, b"4\r\nbody\r\n0\r\n\r\n"), (6, b"a.b\r\n"), (8, b""), (9, b""), (10, b""))}
     assert all(r[3] is None and r[7] is None for r in rows)
     assert whole["urn:uuid:2"][4:7] == (4, hashlib.sha1(b"body").hexdigest(), "response") and whole["urn:uuid:2"][9] == "http://a"
     assert whole["urn:uuid:8"][4:9] == (None, hashlib.sha1(b"body").hexdigest(), "revisit", None, "urn:uuid:2")
