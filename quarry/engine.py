@@ -175,6 +175,21 @@ class Engine:
 
     # Execution.
 
+    def session_for(self, options: Options) -> SparkSession:
+        """The engine's session, or one of its own for options that need settings."""
+        if options.engine.lower() not in ENGINES:
+            raise QueryError(f"unknown engine {quoted(options.engine)} (want vectorized or row)")
+        confs = {}
+        if ENGINES[options.engine.lower()] == "row":
+            confs |= {"spark.sql.parquet.enableVectorizedReader": "false", "spark.sql.codegen.wholeStage": "false"}
+        if not options.skip:
+            confs["spark.sql.parquet.filterPushdown"] = "false"
+        if not options.prune:
+            confs["spark.sql.optimizer.excludedRules"] = "org.apache.spark.sql.catalyst.optimizer.ColumnPruning"
+        if options.batch_size:
+            confs["spark.sql.parquet.columnarReaderBatchSize"] = str(options.batch_size)
+        return configured(self.spark, confs)
+
     def run(self, query: str | Bound, options: Options = Options()) -> Result:
         """Run a statement within `options.timeout`, footers and planning included."""
         with deadline(self.spark, options.timeout):
@@ -189,16 +204,7 @@ class Engine:
         table.check()
         kept = self.kept(q, table, options.skip)
         plan = self._explained(q, kept, options)
-        confs = {}
-        if engine == "row":
-            confs |= {"spark.sql.parquet.enableVectorizedReader": "false", "spark.sql.codegen.wholeStage": "false"}
-        if not options.skip:
-            confs["spark.sql.parquet.filterPushdown"] = "false"
-        if not options.prune:
-            confs["spark.sql.optimizer.excludedRules"] = "org.apache.spark.sql.catalyst.optimizer.ColumnPruning"
-        if options.batch_size:
-            confs["spark.sql.parquet.columnarReaderBatchSize"] = str(options.batch_size)
-        df = self.frame(q, options, configured(self.spark, confs))
+        df = self.frame(q, options, self.session_for(options))
         shown = df if options.cap is None else df.limit(options.cap + 1)
         started = time.perf_counter()
         rows = shown.collect()

@@ -161,7 +161,7 @@ WITH_TYPES: dict[str, tuple[str, str]] = {
 
 
 def _laid(spark: SparkSession, sf_dir: str, by: str):
-    """An engine over events written anew in eight files by ranges of a column, each of several row groups."""
+    """An engine over events written anew in eight files by ranges of a column, with several row groups each where they are large."""
     from .engine import Engine
     from .session import scratch
 
@@ -177,7 +177,7 @@ def catalog_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for by in ("ts", "user_id"):
         table = _laid(spark, sf_dir, by).catalog["events"]
-        rows.append((by, table.rows, table.group_count > 8, table.clustering("ts")[0]))
+        rows.append((by, table.rows, table.group_count >= 8, table.clustering("ts")[0]))
     schema = T.StructType([T.StructField("laid_by", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("many_groups", T.BooleanType()), T.StructField("clustered", T.BooleanType())])
     return spark.createDataFrame(rows, schema)
 
@@ -209,14 +209,18 @@ def rowgroup_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: statement(sql) for name, (sql, _) in STATEMENTS.items()}
+    from . import surface_queries
+
+    out = surface_queries.QUERIES | {name: statement(sql) for name, (sql, _) in STATEMENTS.items()}
     out |= {name: statement(sql.format(t="events"), _some_nulls) for name, (sql, _) in WITH_NULLS.items()}
     out |= {name: statement(sql.format(t="events"), _more_types) for name, (sql, _) in WITH_TYPES.items()}
     return out | {"cat_clustering": catalog_clustering, "cat_ts_range": catalog_time_range, "scan_zone_map": skipping_scan_query, "scan_row_groups": rowgroup_scan_query}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: check or sql for name, (sql, check) in STATEMENTS.items()}
+    from . import surface_queries
+
+    out = surface_queries.oracle_sql() | {name: check or sql for name, (sql, check) in STATEMENTS.items()}
     out |= {name: check.format(t=_NULLS) for name, (_, check) in WITH_NULLS.items()}
     out |= {name: check.format(t=_TYPES) for name, (_, check) in WITH_TYPES.items()}
     window = f"SELECT *, TRUE AS files_skipped, TRUE AS groups_skipped FROM ({STATEMENTS['q2_time_window'][1]})"
