@@ -40,9 +40,11 @@ ENOUGH = 10
 #: Languages whose scores sit side by side; more are trained and scored group by group.
 GROUP = 32
 #: A text is rejected if its cross-entropy exceeds this quantile of calibration texts with its prediction
-#: and length by `MARGIN` (nats a character): at most 1 - QUANTILE of known texts are rejected.
+#: and length by `MARGIN` (nats a character) and, as the mean of n characters spreads like 1 / sqrt(n),
+#: by `SPREAD` / sqrt(n) more: at most 1 - QUANTILE of known texts are rejected.
 QUANTILE = 0.99
-MARGIN = 0.75
+MARGIN = 0.5
+SPREAD = 4.0
 #: Length classes are powers of two, the last open.
 CLASSES = 13
 #: Evidence beyond so many characters no longer sharpens a score.
@@ -267,7 +269,8 @@ def _length_class(chars: np.ndarray) -> np.ndarray:
 
 
 def limits(seen: dict[tuple[int, int], float], langs: int) -> np.ndarray:
-    """Bounds for all languages and length classes from the quantiles seen, {(language, class): entropy}.
+    """Bounds for all languages and length classes from the quantiles seen, {(language, class): entropy},
+    with the margins of the class's shortest texts.
 
     A class that has none takes that of the nearest shorter class, whose texts vary more; below the
     shortest class seen, each halving of the length allows another MARGIN. A language that has none
@@ -275,7 +278,7 @@ def limits(seen: dict[tuple[int, int], float], langs: int) -> np.ndarray:
     """
     out = np.full((langs, CLASSES), np.nan)
     for (lang, at), entropy in seen.items():
-        out[lang, at] = entropy + MARGIN
+        out[lang, at] = entropy + MARGIN + SPREAD / 2 ** (at / 2)
     for row in out:
         known = np.flatnonzero(~np.isnan(row))
         for at in range(CLASSES) if len(known) else ():

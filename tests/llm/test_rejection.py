@@ -13,9 +13,10 @@ SF = "/root/testdata/sf0.01/documents.parquet"
 
 def test_limits_extend():
     got = langid.limits({(0, 3): 2.0, (0, 5): 1.0, (1, 5): 4.0}, 3)
-    m = langid.MARGIN
-    assert got[0].tolist() == pytest.approx([2 + 4 * m, 2 + 3 * m, 2 + 2 * m, 2 + m, 2 + m, *[1 + m] * 8])
-    assert got[1][12] == pytest.approx(4 + m) and got[1][0] == pytest.approx(4 + 6 * m)
+    m, three, five = langid.MARGIN, langid.SPREAD / 8**0.5, langid.SPREAD / 32**0.5
+    short, long = 2 + m + three, 1 + m + five
+    assert got[0].tolist() == pytest.approx([short + 3 * m, short + 2 * m, short + m, short, short, *[long] * 8])
+    assert got[1][12] == pytest.approx(4 + m + five) and got[1][0] == pytest.approx(4 + 6 * m + five)
     assert got[2].tolist() == pytest.approx(np.maximum(got[0], got[1]).tolist())
     assert np.isinf(langid.limits({}, 2)).all()
 
