@@ -1,13 +1,17 @@
 """SimHash near copies at a similarity of 0.8 on five-word shingles.
 
-Two texts at that similarity differ in about 10 of the 64 bits of a SimHash over all their
-shingles, a distance at which unrelated texts meet as well. So a text gets `PRINTS` fingerprints,
+A text has a SimHash fingerprint over all its shingles. Fingerprints go to the anchors around them
+and are compared there by Hamming distance as in `simhash`, at most `THRESHOLD` bits apart, and the
+texts of a component of fingerprints are candidates: that finds every pair so close.
+
+Two texts at 0.8 differ in about 10 of the 64 bits, a distance at which unrelated texts meet as
+well. For those a text gets `PRINTS` fingerprints besides,
 each over a min-wise sample of `SAMPLE` shingles: texts of similarity s have the same sample, and
 so the same fingerprint, with probability s^4, and unrelated texts with none. Anchors are the words
 of the Hamming code of `simhash`, of covering radius 1; with equal fingerprints to find, the
 threshold is 0, and a fingerprint goes to the one anchor within 1. Texts that share an anchor of the
 same sample are compared; texts at 0.8 share none with probability (1 - 0.8^4)^40 < 1e-9. Links are
-those with an exact similarity of 0.8 or more.
+those candidates with an exact similarity of 0.8 or more.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import clean_steps, ensure_workers, made, materialise, release
 from .components import roots
+from .simhash import THRESHOLD
+from .simhash import links as close_prints
 from .tokens import slices
 
 WORDS = 5
@@ -95,6 +101,16 @@ def fingerprints(found: np.ndarray, per: np.ndarray) -> np.ndarray:
     return out
 
 
+def whole_prints(found: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of each text: a bit is 1 if set in over half of its shingles' hashes."""
+    starts = np.cumsum(per) - per
+    out = np.zeros(len(per), np.uint64)
+    for bit in np.arange(64, dtype=np.uint64):
+        ones = np.add.reduceat((found >> bit & np.uint64(1)).astype(np.int64), starts)
+        out |= (2 * ones > per).astype(np.uint64) << bit
+    return out
+
+
 def keys(found: np.ndarray, per: np.ndarray) -> np.ndarray:
     """One key for the anchor of each fingerprint of each text, a row each."""
     return _fold(np.arange(PRINTS, dtype=np.uint64), nearest_anchor(fingerprints(found, per))).view(np.int64)
@@ -109,7 +125,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, to in slices(batch["text"], SLICE):
             found, per = shingles(batch["text"].slice(at, to - at))
             bands = _lists(keys(found, per).reshape(-1), np.full(len(per), PRINTS))
-            yield pa.RecordBatch.from_arrays([batch["row"].slice(at, to - at), pa.array(per, pa.int64()), bands], names=["row", "n", "keys"])
+            prints = pa.array(whole_prints(found, per).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch["row"].slice(at, to - at), pa.array(per, pa.int64()), prints, bands], names=["row", "n", "print", "keys"])
     release()
 
 
@@ -134,6 +151,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b"), "near-links")
 
 
+def _close(signed: DataFrame) -> DataFrame:
+    """(row, n, key) of every text: the key stands for the component of its whole fingerprint at `THRESHOLD` bits."""
+    unique = materialise(signed.select("print").distinct(), "whole-prints")
+    found = materialise(roots(close_prints(unique, THRESHOLD)), "print-roots")
+    known = signed.select("row", "n", "print").join(found, F.col("print") == F.col("node"), "left")
+    return known.select("row", "n", F.xxhash64(F.lit("whole"), F.coalesce("root", "print")).alias("key"))
+
+
 def _stars(shared: DataFrame) -> DataFrame:
     """Candidates (a, b): every row with the head of each of its groups.
 
@@ -259,14 +284,16 @@ def components(docs: DataFrame, row: str) -> DataFrame:
     `docs` (row, text) is read twice, so its row numbers must be the same in every scan. A null text counts as
     empty; texts of fewer than five words are linked where their words are equal; repeated rows
     are linked; an empty table gives no row; other columns play no part. Candidates are first
-    compared with the head of their group; what these links leave apart, and an exact bound leaves
+    compared with the head of their group (a component of whole fingerprints, or an anchor of a
+    sample); what these links leave apart, and an exact bound leaves
     open, is compared in blocks, so that no link between components is lost and no pair is a row.
     """
     spark, first = docs.sparkSession, len(made())
     ensure_workers(spark)
     source = docs.select(docs[row].alias("row"), docs["text"].cast("string").alias("text"))
-    signed = materialise(source.mapInArrow(_signatures, "row long, n long, keys array<long>"), "signatures")
+    signed = materialise(source.mapInArrow(_signatures, "row long, n long, print long, keys array<long>"), "signatures")
     spread = signed.select("row", "n", F.explode("keys").alias("key"))
+    spread = spread.unionByName(materialise(_close(signed), "whole-keys"))
     crowds = materialise(spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared-keys")
     shared = materialise(spread.join(crowds, "key").select("key", "row", "n", "m"), "candidates")
     wanted = materialise(shared.select("row").distinct(), "candidate-rows")

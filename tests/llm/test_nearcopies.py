@@ -126,3 +126,28 @@ def test_links_that_no_head_has(spark, docs, tmp_path, rows, monkeypatch):
     want = keep_unlike(frame.collect())
     assert 20 < len(want) < len(rows) - 20
     assert sorted(cp.drop_near_copies(spark, frame, "").collect(), key=str) == want
+
+
+def test_whole_fingerprints_are_compared_by_distance(spark, docs, tmp_path, monkeypatch):
+    """Without the samples, texts whose fingerprints over all shingles differ in at most two bits are still found, and checked."""
+    signatures = nearcopies._signatures
+
+    def unsampled(batches):
+        for batch in signatures(batches):
+            yield batch.set_column(3, "keys", pa.array([[row] for row in batch["row"].to_pylist()], pa.list_(pa.int64())))
+
+    monkeypatch.setattr(nearcopies, "_signatures", unsampled)
+    rng = random.Random(3)
+    rows = []
+    for g in range(40):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(400)]
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, edited(rng, base, 1))]
+    found, per = nearcopies.shingles(pa.array([t for _, t in rows]))
+    prints = nearcopies.whole_prints(found, per)
+    sets = np.split(found, np.cumsum(per)[:-1])
+    assert all(int(p) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s)) for p, s in zip(prints[:6], sets))
+    near = np.bitwise_count(prints[0::2] ^ prints[1::2]) <= simhash.THRESHOLD
+    assert 10 < near.sum() and (prints[0::2][near] != prints[1::2][near]).any()
+    docs(rows).coalesce(1).write.parquet(str(tmp_path / "documents"))
+    kept = {r.doc_id for r in cp.drop_near_copies(spark, spark.read.parquet(str(tmp_path / "documents")), "").collect()}
+    assert kept == {i for i, _ in rows} - {10 * g + 1 for g in range(40) if near[g]}
