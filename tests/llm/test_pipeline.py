@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -91,6 +92,19 @@ def test_odd_rows(spark, docs, tmp_path, rows, kept):
         assert sum(p.length for p in own) % own[0].doc_tokens == 0
 
 
+def test_workers_get_bounded_batches(spark, docs):
+    frame = docs([(i, "word " * 20_000) for i in range(200)]).coalesce(1)
+    cp.pack_sequences(spark, frame, "")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]})
+
+    got = frame.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 200
+    assert max(r.bytes for r in got) <= cp.BATCH_BYTES + 200_000
+
+
 def test_names():
     assert [n for n, _ in cp.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "packing"]
     assert np.all([callable(f) for _, f in cp.STAGES])
