@@ -195,7 +195,12 @@ class Engine:
         with deadline(self.spark, options.timeout):
             return self._run(query, options)
 
-    def _run(self, query: str | Bound, options: Options) -> Result:
+    def profile(self, query: str | Bound, options: Options = Options()) -> dict:
+        """What a run reports, without its rows: each is made on the executors and counted there, and none comes to the driver."""
+        with deadline(self.spark, options.timeout):
+            return self._run(query, options, counted=True).profile
+
+    def _run(self, query: str | Bound, options: Options, counted: bool = False) -> Result:
         if options.engine.lower() not in ENGINES:
             raise QueryError(f"unknown engine {quoted(options.engine)} (want vectorized or row)")
         engine = ENGINES[options.engine.lower()]
@@ -207,12 +212,14 @@ class Engine:
         df = self.frame(q, options, self.session_for(options))
         shown = df if options.cap is None else df.limit(options.cap + 1)
         started = time.perf_counter()
-        rows = shown.collect()
+        # Counting the rows of the plan itself leaves its columns and metrics as they are when they are collected.
+        rows = [] if counted else shown.collect()
+        emitted = shown._jdf.queryExecution().toRdd().count() if counted else len(rows)
         elapsed = (time.perf_counter() - started) * 1000
         read = scanned_rows(shown)
-        truncated = options.cap is not None and len(rows) > options.cap
+        truncated = options.cap is not None and emitted > options.cap
         if truncated:
-            rows = rows[: options.cap]
+            rows, emitted = rows[: options.cap], options.cap
         scan = plan.find("ParquetScan").facts
         size = kept.bytes if options.prune else kept.all_bytes
         # Scans through the Python source, or without metrics, count the rows of the kept groups.
@@ -222,7 +229,7 @@ class Engine:
             "engine": engine,
             "jobs": options.jobs,
             "rows_read": scan["rows_in"],
-            "rows_emitted": len(rows),
+            "rows_emitted": emitted,
             "bytes_read": size,
             "row_groups_total": kept.total,
             "row_groups_read": scan["kept_row_groups"],

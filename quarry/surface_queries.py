@@ -101,7 +101,7 @@ def inspected(engine: Engine) -> list[tuple]:
 def profile(engine: Engine) -> list[tuple]:
     out = []
     for sql in ("SELECT COUNT(value) FROM events", "SELECT event_id, ts FROM events", "SELECT * FROM region", "SELECT COUNT(*) FROM events WHERE FALSE"):
-        p = engine.run(sql).profile
+        p = engine.profile(sql)
         out.append((sql, p["rows_read"], p["rows_emitted"], p["columns_read"], p["row_groups_read"] == p["row_groups_total"]))
     return out
 

@@ -230,3 +230,12 @@ def test_a_request_has_its_time(spark, sf_dir, monkeypatch):
         urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/query", b'{"sql": "SELECT r_name FROM region"}')
     assert e.value.code == 504
     assert server.stop()
+
+
+def test_profiles_bring_no_rows_to_the_driver(spark, sf_dir, monkeypatch):
+    engine = Engine(spark, sf_dir)
+    statements = ["SELECT event_id, ts FROM events", "SELECT COUNT(value) FROM events", "SELECT user_id FROM events ORDER BY user_id LIMIT 7", "SELECT event_type, COUNT(*) FROM events GROUP BY event_type", "SELECT event_id FROM events WHERE FALSE"]
+    want = [engine.run(sql, Options(cap=cap)).profile for sql in statements for cap in (None, 3)]
+    monkeypatch.setattr(type(spark.range(1)), "collect", None)
+    got = [engine.profile(sql, Options(cap=cap)) for sql in statements for cap in (None, 3)]
+    assert [p | {"elapsed_ms": 0} for p in got] == [p | {"elapsed_ms": 0} for p in want]
